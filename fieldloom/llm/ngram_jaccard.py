@@ -106,7 +106,7 @@ def _verifier(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
         for batch in batches:
-            keys, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            keys, a, b = (pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
             kind = batch.column(1).to_numpy(zero_copy_only=False)
             out: list[tuple[int, int, float]] = []
             sets = batch.column(4)

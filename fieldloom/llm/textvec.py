@@ -154,3 +154,25 @@ def lines(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     end[is_last] = o[1:]
     end[~is_last] = nl
     return start, end, first
+
+
+def codes(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts of a slice, and each text's offset in them."""
+    raw = b.tobytes()
+    try:
+        out = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        starts = np.zeros(len(b) + 1, np.int64)
+        np.cumsum((b & 0xC0) != 0x80, out=starts[1:])
+        return out, starts[o]
+    except UnicodeDecodeError:
+        parts = [np.frombuffer(raw[i:j].decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for i, j in zip(o[:-1], o[1:])]
+        at = np.zeros(len(o), np.int64)
+        np.cumsum([len(p) for p in parts], out=at[1:])
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), at
+
+
+def sum_by(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the runs that start at the offsets; 0 for an empty run."""
+    total = np.zeros(len(values) + 1, np.float64)
+    np.cumsum(values, out=total[1:])
+    return total[at[1:]] - total[at[:-1]]
