@@ -113,7 +113,7 @@ def fit(docs: DataFrame, per_language: int = 400, ridge: float = 0.1, far_factor
     def vectors(batches):
         for batch in batches:
             b_all, o_all = tv.buffers(pc.utf8_lower(batch.column(1)))
-            for i, j in tv.slices(o_all):
+            for i, j in tv.slices(o_all, rows=256):
                 x, letters = features(b_all[o_all[i] : o_all[j]], o_all[i : j + 1] - o_all[i])
                 has = np.flatnonzero(letters)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(has)), pa.array([x[k].astype(np.float16).tobytes() for k in has], pa.binary())], names=["lang", "x"])
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model | None = None, min_letters: int = 12,
     def judge(text: pa.Array) -> pa.Array:
         b_all, o_all = tv.buffers(pc.utf8_lower(text))
         parts = []
-        for i, j in tv.slices(o_all):
+        for i, j in tv.slices(o_all, rows=256):
             x, letters = features(b_all[o_all[i] : o_all[j]], o_all[i : j + 1] - o_all[i])
             best, near, lead = model.decode((x @ model.matrix).astype(float))
             none = letters < min_letters

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from .chat import render_conversations
 from .common import table
+from .hnsw import nearest_neighbours
 from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_jaccard import jaccard_join
 from .packing import pack_documents
 from .perplexity import perplexity_verdicts
+from .url_tree import filter_urls
+from .warc import crawl_log, resolve_revisits
 
 TARGET_ENTROPY, MAX_REPETITION, BLOCK_TOKENS, SEED = 0.98, 4.0, 100_000, 17
 
@@ -33,6 +39,27 @@ def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers come as the lines of a header block."""
+    found = resolve_revisits(crawl_log(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(F.array_sort(lines), "\n"))
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is good if the document of its number is labelled to be of good quality."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 1).alias("good"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id", "left")
+    return filter_urls(pages, F.col("good"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ChatML text; generation comes as ``start-end`` ranges with commas."""
+    done = render_conversations(table(spark, sf_dir, "conversations"))
+    ranges = F.transform("generation", lambda g: F.concat(g["start"].cast("string"), F.lit("-"), g["end"].cast("string")))
+    return done.withColumn("generation", F.array_join(ranges, ","))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "lang", "language.*")
 
@@ -41,13 +68,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_perplexity": op4_perplexity,
+    "op5_warc_revisits": op5_warc_revisits,
+    "op6_url_templates": op6_url_templates,
+    "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_hnsw": op10_hnsw,
 }
 
 _NL = "chr(10)"
@@ -131,5 +166,50 @@ SELECT a AS doc_a, b AS doc_b, k / (x.n + y.n - k) AS jaccard
 FROM both_ JOIN size x ON x.d = a JOIN size y ON y.d = b WHERE k / (x.n + y.n - k) >= 0.6
 UNION ALL
 SELECT DISTINCT n.d, o.doc_id, 1.0::DOUBLE FROM word o JOIN node n ON o.w = n.w WHERE n.d < o.doc_id
+""",
+    "op5_warc_revisits": r"""
+WITH rec AS (
+    SELECT page_id * 2 AS record_id, 'response' AS type, url, to_timestamp(1704067200 + page_id * 60) AS date, page_id AS n, html FROM pages
+    UNION ALL
+    SELECT page_id * 2 + 1, 'revisit', url || '#again', to_timestamp(1704067200 + 86400 + page_id * 60), page_id, html FROM pages
+), bare AS (
+    SELECT *, regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM rec
+), part AS (
+    SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS host,
+        regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '(?s)[?](.*)$', 1), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|ref|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)'))), '&') AS query
+    FROM bare
+), canon AS (
+    SELECT record_id, type, date, n, html, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url,
+        '"' || substr(md5(html), 1, 12) || '"' AS etag, strftime(to_timestamp(1704067200 + n * 60) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS modified FROM part
+), pair AS (
+    SELECT v.record_id, v.url AS canonical_url, v.n, v.etag AS own_tag, v.modified AS own_modified,
+        r.record_id AS source_id, r.etag, r.modified, r.html, row_number() OVER (PARTITION BY v.record_id ORDER BY r.date DESC, r.record_id DESC) AS k
+    FROM canon v LEFT JOIN canon r ON r.type = 'response' AND r.url = v.url AND r.date < v.date WHERE v.type = 'revisit'
+), judged AS (
+    SELECT *, CASE WHEN source_id IS NULL THEN 'orphan'
+        WHEN n % 5 <> 0 THEN CASE WHEN own_tag = etag THEN 'resolved' ELSE 'mismatch' END
+        WHEN own_modified = modified THEN 'resolved' ELSE 'mismatch' END AS status FROM pair WHERE k = 1
+)
+SELECT record_id, canonical_url, source_id, status,
+    CASE WHEN status = 'resolved'
+        THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || strlen(html) || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || CASE WHEN n % 3 = 0 AND n % 5 <> 0 THEN 'W/' ELSE '' END || etag || chr(10) || 'last-modified: ' || own_modified
+        ELSE 'cache-control: max-age=600' || chr(10) || 'content-length: 0' || CASE WHEN n % 5 <> 0 THEN chr(10) || 'etag: ' || CASE WHEN n % 3 = 0 THEN 'W/' ELSE '' END || own_tag ELSE '' END || chr(10) || 'last-modified: ' || own_modified END AS headers,
+    CASE WHEN status = 'resolved' THEN html END AS payload
+FROM judged
+""",
+    "op7_chat_format": """
+WITH turns AS (
+    SELECT conv_id, role, row_number() OVER w AS k, length('<|im_start|>' || coalesce(role, '') || chr(10)) AS head,
+        coalesce(text, '') || '<|im_end|>' AS body, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS whole
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), placed AS (
+    SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head AS pos FROM turns
+)
+SELECT conv_id, string_agg(whole, '' ORDER BY k) AS text,
+    coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (role = 'assistant'), '') AS generation,
+    CAST(NULL AS VARCHAR) AS error
+FROM placed GROUP BY conv_id
 """,
 }

@@ -50,13 +50,14 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return b[o[0] : o[-1]], o - o[0]
 
 
-def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``size`` bytes; a longer row makes a range alone."""
+def slices(offsets: np.ndarray, size: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes and at most ``rows`` rows; a longer row makes a range alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
 
 
 def _pow(n: int, base: int) -> np.ndarray:
