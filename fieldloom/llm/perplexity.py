@@ -137,6 +137,9 @@ def probabilities(rows: DataFrame) -> DataFrame:
     A language with only one half has no other model; it is scored under its own.
     """
     texts = rows.filter("length(text) > 0").select("grp", "text")
+    # Fewer, longer map tasks: most n-grams recur, so each task's distinct ones are about as many however long it is.
+    parts = texts.rdd.getNumPartitions()
+    texts = texts.coalesce(max(1, parts // 4, min(parts, rows.sparkSession.sparkContext.defaultParallelism)))
     counted = texts.mapInArrow(_counter, "grp long, hi long, lo long, n long").groupBy("grp", "hi", "lo").agg(F.sum("n").alias("n"))
     names = [f"s{k}" for k in range(1, ORDER + 1)] + [f"x{k}" for k in range(1, ORDER + 1)]
     grams = cut(counted.mapInArrow(_keyer, "grp long, n long, h long, " + ", ".join(f"{k} long" for k in names)))
