@@ -132,6 +132,26 @@ def _verifier(threshold: float):
     return verify
 
 
+def _all_pairs(near: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Each pair of documents of a pair of nodes, and of one node.
+
+    A node's ids travel in lists of about ``block``; a pair of lists is a row, so
+    the pairs of a node with many copies are made in many tasks.
+    """
+    sizes = members.groupBy("node").agg(F.ceil(F.count("*") / block).alias("parts"))
+    lists = members.join(sizes, "node").groupBy("node", F.pmod(F.xxhash64("doc"), "parts").alias("part")).agg(F.collect_list("doc").alias("docs"))
+    lists = cut(lists)
+    end = lambda k: lists.select(F.col("node").alias(k), F.col("part").alias("part_" + k), F.col("docs").alias("docs_" + k))
+    other = near.join(end("a"), "a").join(end("b"), "b").select("docs_a", "docs_b", "jaccard", F.lit(False).alias("own"))
+    copied = lists.filter("part > 0 OR size(docs) > 1")
+    copied = copied.select(F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("docs").alias("docs_a"))
+    same = copied.join(end("b"), (F.col("a") == F.col("b")) & (F.col("part_a") >= F.col("part_b")))
+    same = same.select("docs_a", "docs_b", F.lit(1.0).alias("jaccard"), (F.col("part_a") == F.col("part_b")).alias("own"))
+    each = other.unionAll(same).repartition(F.xxhash64("docs_a", "docs_b")).select(F.explode("docs_a").alias("x"), "docs_b", "jaccard", "own")
+    each = each.select("x", F.explode("docs_b").alias("y"), "jaccard", "own").filter("x < y OR x > y AND NOT own")
+    return each.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+
+
 def jaccard_join(
     docs: DataFrame,
     threshold: float = 0.6,
@@ -142,15 +162,16 @@ def jaccard_join(
     seed: int = 7,
     id_col: str = "doc_id",
     text_col: str = "text",
+    stars: bool = False,
 ) -> DataFrame:
     """All pairs of documents whose word n-gram sets have a Jaccard index of at least ``threshold``.
 
-    Returns ``doc_a < doc_b, jaccard``. Documents with the same word sequence are
-    given as pairs of the smallest id with each other one (jaccard 1), and only
-    that smallest id appears in pairs with other texts; all other pairs follow
-    from these. A pair at the threshold is found with probability
-    ``target_recall``, more similar ones with a higher one; what is returned is
-    verified exactly.
+    Returns ``doc_a < doc_b, jaccard``. With ``stars``, documents with the same
+    word sequence are given only as pairs of the smallest id with each other one
+    (jaccard 1), and only that smallest id appears in pairs with other texts: the
+    same connected groups in fewer rows. A pair at the threshold is found with
+    probability ``target_recall``, more similar ones with a higher one; what is
+    returned is verified exactly.
 
     Null, empty and word-less texts have no n-grams and match nothing; a text of
     fewer than ``n`` words has one gram of all its words. Rows with a null id
@@ -186,6 +207,8 @@ def jaccard_join(
     work = work.repartition("key").sortWithinPartitions("key", "kind")
     near = work.mapInArrow(_verifier(threshold), "a long, b long, jaccard double")
 
+    if not stars:
+        return _all_pairs(near, signed.select("node", "doc").distinct(), block)
     name = lambda end: names.select(F.col("node").alias(end), F.col("doc").alias("doc_" + end))
     near = near.join(name("a"), "a").join(name("b"), "b").filter("doc_a <> doc_b")
     near = near.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
@@ -223,7 +246,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id, and null, empty or word-less texts, are always kept.
     Rows that repeat an id and text are kept once. All columns pass through.
     """
-    found = groups(jaccard_join(docs, id_col=id_col, text_col=text_col, **options))
+    found = groups(jaccard_join(docs, id_col=id_col, text_col=text_col, stars=True, **options))
     name_gone, name_again = fresh(docs, "gone", "again")
     gone = found.select(F.col("doc").alias(name_gone))
     kept = docs.join(maybe_broadcast(gone, gone.count()), col(docs, id_col) == F.col(name_gone), "left_anti")

@@ -96,6 +96,20 @@ def test_jaccard_brute(spark):
     assert got[(0, 200)] == 1.0 and got[(203, 204)] == 1.0
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_jaccard_all_pairs_of_copies(spark, block):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 500, 60)]
+    near = base[:-1] + ["other"]
+    docs = [(k, " ".join(base)) for k in (3, 1, 8, 5, 12)] + [(k, " ".join(near) + "!" * k) for k in (2, 9, 4)] + [(20, "alone here"), (21, None), (3, " ".join(base))]
+    got = rows(ngram_jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), block=block))
+    sets = {i: grams(t) for i, t in docs if t}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {p: j for p, j in want.items() if j >= 0.6}
+    assert len(want) == 28 and len(got) == 28 and {(a, b) for a, b, _ in got} == set(want)
+    assert all(math.isclose(j, want[a, b]) for a, b, j in got)
+
+
 def test_groups_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(100, 101, 1.0)], "doc_a long, doc_b long, jaccard double")
     got = dict(rows(ngram_jaccard.groups(pairs)))
