@@ -23,9 +23,6 @@ from .plans import mesh_nodes, screen, winners
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-COMPONENTS, FEATURES = (0, 1, 2, 3), tuple(range(8, 16))
-
-
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -53,9 +50,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY {{step}} component ORDER BY abs(
 
 
 def _screened(spark, sf, step: list[str]) -> DataFrame:
+    """Every position as a component against every other one."""
     e = _t(spark, sf, "embeddings")
     at = lambda k: F.get("embedding", F.lit(k))
-    return screen(e, step, {f"c{k}": at(k) for k in COMPONENTS}, {f"f{k:02d}": at(k) for k in FEATURES})
+    every = range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)
+    return screen(e, step, {f"c{k}": at(k) for k in every}, {f"f{k:02d}": at(k) for k in every}, apart={f"c{k}": f"f{k:02d}" for k in every})
 
 
 @query(f"WITH {_R.format(step='')} SELECT component, feature, round(r, 6) AS r, rank FROM k")
@@ -205,12 +204,12 @@ _USER = "WITH u AS (SELECT DISTINCT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '
 
 
 def _user_steps(spark, sf) -> DataFrame:
-    return _t(spark, sf, "events").filter("user_id = 7").select(F.window("ts", "6 hours")["start"].alias("step"))
+    return _t(spark, sf, "events").select("user_id", F.window("ts", "6 hours")["start"].alias("step"))
 
 
 @query(_USER + " SELECT g AS step FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 18:00:00', INTERVAL 6 HOUR) t(g) WHERE g NOT IN (SELECT step FROM u)")
 def gap_report(spark, sf):
-    return jn.missing_steps(_user_steps(spark, sf), "step", "2024-01-01 00:00:00", "2024-01-31 00:00:00", "6 HOURS")
+    return jn.missing_steps(_user_steps(spark, sf), "step", "2024-01-01 00:00:00", "2024-01-31 00:00:00", "6 HOURS", ("user_id",))
 
 
 @query("SELECT user_id, event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -220,12 +219,12 @@ def duplicate_report(spark, sf):
 
 @query(_USER + ", c AS (SELECT step::DATE AS day, count(*) AS n FROM u GROUP BY 1) SELECT g::DATE AS day, coalesce(n, 0) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) t(g) LEFT JOIN c ON c.day = g::DATE WHERE coalesce(n, 0) <> 4")
 def incomplete_days(spark, sf):
-    return ag.incomplete_days(_user_steps(spark, sf), "step", "2024-01-01", "2024-01-30", 4)
+    return ag.incomplete_days(_user_steps(spark, sf), "step", "2024-01-01", "2024-01-30", 4, ("user_id",))
 
 
 @query(_USER + " SELECT step FROM u WHERE step + INTERVAL 6 HOUR IN (SELECT step FROM u) AND step - INTERVAL 6 HOUR IN (SELECT step FROM u)")
 def three_step_window(spark, sf):
-    return jn.with_neighbours(_user_steps(spark, sf), "step", "6 HOURS")
+    return jn.with_neighbours(_user_steps(spark, sf), "step", "6 HOURS", ("user_id",))
 
 
 @query("""WITH s AS (SELECT DISTINCT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS step FROM events WHERE event_type = 'signup'), m AS (SELECT DISTINCT ts FROM events WHERE event_type = 'error')

@@ -81,11 +81,15 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def incomplete_days(df: DataFrame, ts: str, start, end, expected: int) -> DataFrame:
-    """Days of the closed range whose number of distinct times is another than expected, days without any too."""
+def incomplete_days(df: DataFrame, ts: str, start, end, expected: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Days of the closed range whose number of distinct times is another than expected, days without any too; with keys, for each of their values in the rows."""
     spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
-    have = df.select(F.to_date(ts).alias("day"), ts).distinct().groupBy("day").agg(F.count("*").alias("n"))
-    return spine.join(have, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n")).filter(F.col("n") != expected)
+    if keys:
+        spine = df.select(*keys).distinct().crossJoin(F.broadcast(spine))
+    have = df.select(*keys, F.to_date(ts).alias("day"), ts).distinct().groupBy(*keys, "day").agg(F.count("*").alias("n")).alias("h")
+    on = [F.col("s." + k).eqNullSafe(F.col("h." + k)) for k in (*keys, "day")]
+    out = spine.alias("s").join(have, on, "left").select(*[F.col("s." + k).alias(k) for k in (*keys, "day")], F.coalesce("n", F.lit(0)).alias("n"))
+    return out.filter(F.col("n") != expected)
 
 
 def importance_by_field(df: DataFrame, name: str, coef: str) -> DataFrame:

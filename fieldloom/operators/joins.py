@@ -75,12 +75,15 @@ def match_by_place(a: DataFrame, b: DataFrame, digits: int = 8) -> DataFrame:
     return key(a).join(key(b).drop("x", "y", "z"), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
 
 
-def missing_steps(df: DataFrame, ts: str, start, end, step: str) -> DataFrame:
-    """Times of the half-open sequence that no row has."""
+def missing_steps(df: DataFrame, ts: str, start, end, step: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Times of the half-open sequence that no row has; with keys, for each of their values in the rows."""
     kind = df.schema[ts].dataType
     ends = [F.lit(start).cast(kind), F.lit(end).cast(kind)]
     spine = df.sparkSession.range(1).select(F.explode(F.sequence(*ends, F.expr(f"INTERVAL {step}"))).alias(ts)).filter(F.col(ts) < ends[1])
-    return spine.join(df.select(ts).distinct(), ts, "left_anti")
+    if keys:
+        spine = df.select(*keys).distinct().crossJoin(F.broadcast(spine))
+    on = [F.col("s." + k).eqNullSafe(F.col("d." + k)) for k in (*keys, ts)]
+    return spine.alias("s").join(df.select(*keys, ts).distinct().alias("d"), on, "left_anti")
 
 
 def against_control(df: DataFrame, keys: list[str], label: str, control, value: str) -> DataFrame:
@@ -104,11 +107,15 @@ def lag_pairs(steps: DataFrame, lags: list[int], circular: bool = False) -> Data
     return a.withColumn("_to", to.cast("int")).join(b, F.col("_to") == F.col("i_later")).drop("_to")
 
 
-def with_neighbours(df: DataFrame, ts: str, step: str) -> DataFrame:
-    """Distinct times of which both the one before and the one after exist."""
-    t = df.select(ts).distinct()
-    before, after = t.select((F.col(ts) + F.expr(f"INTERVAL {step}")).alias(ts)), t.select((F.col(ts) - F.expr(f"INTERVAL {step}")).alias(ts))
-    return t.join(before, ts, "left_semi").join(after, ts, "left_semi")
+def with_neighbours(df: DataFrame, ts: str, step: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct times of which both the one before and the one after exist; with keys, among the rows of the same keys."""
+    t = df.select(*keys, ts).distinct()
+    for sign in (1, -1):
+        moved = t.select(*keys, (F.col(ts) + sign * F.expr(f"INTERVAL {step}")).alias(ts)).alias("d")
+        out = t if sign == 1 else out
+        on = [F.col("s." + k).eqNullSafe(F.col("d." + k)) for k in keys] + [F.col("s." + ts) == F.col("d." + ts)]
+        out = out.alias("s").join(moved, on, "left_semi")
+    return out
 
 
 def starts_with_both_ends(starts: DataFrame, marks: DataFrame, ts: str, mark: str, first_s: int, last_s: int, tolerance_s: int) -> DataFrame:

@@ -15,17 +15,23 @@ from ..operators.metrics import average_precision, event_metrics, pr_curve, roc_
 from ..operators.windows import ranked
 
 
-def screen(df: DataFrame, step: list[str], components: dict, features: dict, min_rows: int = 10) -> DataFrame:
+def screen(df: DataFrame, step: list[str], components: dict, features: dict, min_rows: int = 10, apart: dict | None = None) -> DataFrame:
     """Correlation of every component with every feature in each step: ``step, component, feature, r, abs_r, rank``.
 
-    Both are given as columns by name. One aggregation gives all pairs; fewer rows
-    than ``min_rows`` give none, a constant side a null r.
+    Both are given as columns by name. One aggregation with a row for each
+    component gives all pairs, but that of a component with the feature that
+    ``apart`` names for it; fewer rows than ``min_rows`` give none, a constant side
+    a null r.
     """
-    base = df.select(*step, *[c.cast("double").alias(f"c_{k}") for k, c in components.items()], *[c.cast("double").alias(f"f_{k}") for k, c in features.items()])
-    aggs = [pearson(F.col(f"c_{a}"), F.col(f"f_{b}")).alias(f"r_{a}_{b}") for a in components for b in features]
-    wide = base.groupBy(*step).agg(F.count("*").alias("rows"), *aggs).filter(F.col("rows") >= min_rows)
-    cells = F.array(*[F.struct(F.lit(a).alias("component"), F.lit(b).alias("feature"), F.col(f"r_{a}_{b}").alias("r")) for a in components for b in features])
-    long = wide.select(*step, F.explode(cells).alias("e")).select(*step, "e.*").withColumn("abs_r", F.abs("r"))
+    apart = apart or {}
+    sides = F.array(*[F.struct(F.lit(a).alias("component"), c.cast("double").alias("x")) for a, c in components.items()])
+    base = df.select(*step, F.explode(sides).alias("e"), *[c.cast("double").alias(f"f_{k}") for k, c in features.items()]).select(*step, "e.*", *[f"f_{k}" for k in features])
+    aggs = [pearson(F.col("x"), F.col(f"f_{b}")).alias(f"r_{b}") for b in features]
+    wide = base.groupBy(*step, "component").agg(F.count("*").alias("rows"), *aggs).filter(F.col("rows") >= min_rows)
+    cells = F.array(*[F.struct(F.lit(b).alias("feature"), F.col(f"r_{b}").alias("r")) for b in features])
+    long = wide.select(*step, "component", F.explode(cells).alias("e")).select(*step, "component", "e.*").withColumn("abs_r", F.abs("r"))
+    if apart:
+        long = long.filter(~F.concat_ws("\0", "component", "feature").isin([f"{a}\0{b}" for a, b in apart.items()]))
     return ranked(long, [*step, "component"], "abs_r", "feature")
 
 

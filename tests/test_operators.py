@@ -178,6 +178,33 @@ def test_screen_and_report(spark, matrix):
     assert report["roc_auc"].first()[0] > 0.8 and report["events"].count() == 3
 
 
+def test_reports_of_every_user_and_position(spark):
+    from datetime import date, datetime, timedelta
+
+    import __spark_entry__ as entry
+
+    sf, q = "/root/testdata/sf0.001", entry.queries()
+    start, steps = datetime(2024, 1, 1), [datetime(2024, 1, 1) + timedelta(hours=6 * k) for k in range(120)]
+    have = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).collect():
+        have.setdefault(r.user_id, set()).add(start + (r.ts - start) // timedelta(hours=6) * timedelta(hours=6))
+    plain = lambda df, *c: sorted(tuple(r) for r in df.select("user_id", *[F.col(x).cast("timestamp_ntz") if x == "step" else F.col(x) for x in c]).collect())
+    assert plain(q["gap_report"](spark, sf), "step") == sorted((u, s) for u, own in have.items() for s in steps if s not in own)
+    days = [(date(2024, 1, 1) + timedelta(days=k)) for k in range(30)]
+    count = {(u, d): sum(s.date() == d for s in own) for u, own in have.items() for d in days}
+    assert plain(q["incomplete_days"](spark, sf), "day", "n") == sorted((u, d, n) for (u, d), n in count.items() if n != 4)
+    six = timedelta(hours=6)
+    assert plain(q["three_step_window"](spark, sf), "step") == sorted((u, s) for u, own in have.items() for s in own if s - six in own and s + six in own)
+
+    x = np.array([r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()], dtype=float)
+    want = np.corrcoef(x.T)
+    got = q["screen_correlations"](spark, sf).collect()
+    n = x.shape[1]
+    assert {(r.component, r.feature) for r in got} == {(f"c{a}", f"f{b:02d}") for a in range(n) for b in range(n) if a != b}
+    assert all(abs(r.r - want[int(r.component[1:]), int(r.feature[1:])]) < 2e-6 for r in got)
+    assert {r.component for r in q["screen_winners_by_group"](spark, sf).collect()} == {f"c{k}" for k in range(n)}
+
+
 def test_empty_inputs(spark):
     df = spark.createDataFrame([], "t timestamp, x array<double>, v double, k int")
     assert la.gram(df, "x")[0] == 0 and ag.step_stats(df, ["k"], "v").count() == 0
