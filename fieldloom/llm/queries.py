@@ -50,7 +50,7 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is good if the document of its number is labelled to be of good quality."""
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 1).alias("good"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id", "left")
-    return filter_urls(pages, F.col("good"))
+    return filter_urls(pages, F.col("good"), max_depth=None)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,13 @@ def shape(segment: Column) -> Column:
     return F.when(is_hex, "{hex}").when(segment.rlike("[0-9]"), F.regexp_replace(segment, "[0-9]+", "{n}")).otherwise("*")
 
 
-def split_url(url: Column, max_depth: int) -> tuple[Column, Column]:
+def split_url(url: Column, max_depth: int | None) -> tuple[Column, Column]:
     """Host and segments; the sorted names of parameters are one more segment, deeper ones than ``max_depth`` are ``**``."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "(?s)#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^[^@]*@|:[0-9]*$", "")
     parts = F.filter(F.split(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+"), lambda s: s != "")
-    parts = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
+    if max_depth is not None:
+        parts = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
     names = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.regexp_extract(bare, "(?s)[?](.*)$", 1), "&"), lambda p: p != ""), lambda p: F.regexp_extract(p, "^[^=]*", 0))))
     query = F.when(F.size(names) > 0, F.array(F.concat(F.lit("?"), F.array_join(names, "&")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", host), F.concat(parts, query)
@@ -100,9 +101,8 @@ def filter_urls(
     good: Column,
     few_numbers: int = 3,
     few_words: int = 8,
-    many: int = 64,
     rare_share: float = 0.3,
-    max_depth: int = 12,
+    max_depth: int | None = 12,
     max_distance: float = 0.15,
     max_z: float = 2.0,
     strength: float = 8.0,
@@ -116,8 +116,9 @@ def filter_urls(
 
     Below one node, segments of one shape are generalised when there are at least
     ``few_numbers`` of them (``few_words`` for a shape without digits) and their
-    number is at least ``rare_share`` of their rows, or above ``many``. ``alike``
-    says which siblings are merged. A template's purity is its share of good
+    number is at least ``rare_share`` of their rows, however many there are; so
+    frequent ones stay branches. ``alike`` says which siblings are merged. Without
+    ``max_depth`` paths are followed to their end. A template's purity is its share of good
     labels, smoothed by ``strength`` labels at its host's share, which is smoothed
     alike by that of all; a template is rejected if that is below ``min_purity``.
     Without any label in the table the share of all is 1.
@@ -139,7 +140,7 @@ def filter_urls(
         each = rows.filter("host IS NOT NULL AND kind IS NOT NULL").groupBy("host", "done", "kind", "seg").agg(F.count("*").alias("n"))
         stats = each.groupBy("host", "done", "kind").agg(F.count("*").alias("different"), F.sum("n").alias("all"))
         least = F.when(F.col("kind") == "*", few_words).otherwise(few_numbers)
-        wild = stats.filter((F.col("different") >= least) & ((F.col("different") >= rare_share * F.col("all")) | (F.col("different") > many)))
+        wild = stats.filter((F.col("different") >= least) & (F.col("different") >= rare_share * F.col("all")))
         wild = cut(wild.select(F.col("host").alias("w_host"), F.col("done").alias("w_done"), F.col("kind").alias("w_kind")))
         joined = rows.join(maybe_broadcast(wild, wild.count()), (F.col("host") == F.col("w_host")) & (F.col("done") == F.col("w_done")) & (F.col("kind") == F.col("w_kind")), "left")
         name = F.when(F.col("w_kind").isNotNull(), F.col("w_kind")).otherwise(F.col("seg"))

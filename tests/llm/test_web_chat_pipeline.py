@@ -50,6 +50,18 @@ def test_templates_of_urls(spark):
     assert {r.purity for r in url_tree.filter_urls(df.filter("page_id < 100"), F.lit(None).cast("boolean")).collect()} == {1.0}
 
 
+def test_frequent_sections_and_deep_paths(spark):
+    names = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(100 * k + i, f"h.org/{name}/{1000 * k + i}", k > 0) for k, name in enumerate(names) for i in range(20)]
+    rows += [(50_000 + i, f"d.org/{'d/' * 14}{'bad' if i % 2 else 'good'}/{i}", i % 2 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, good_label boolean")
+    by = {r.page_id: r for r in url_tree.filter_urls(df, F.col("good_label"), max_depth=None).collect()}
+    assert by[0].template == "/ak/{n}" and by[0].rejected
+    assert all(not by[100 * k + i].rejected and by[100 * k + i].template != by[0].template for k in range(1, 100) for i in range(20))
+    assert by[50_000].template == "/" + "d/" * 14 + "good/{n}" and not by[50_000].rejected
+    assert by[50_001].template == "/" + "d/" * 14 + "bad/{n}" and by[50_001].rejected
+
+
 def test_purity_brute(spark):
     rows = [(i, f"h.org/{'abc'[i % 3]}", [True, i % 2 == 0, None][i % 3]) for i in range(60)]
     out = url_tree.filter_urls(spark.createDataFrame(rows, "page_id long, url string, g boolean"), F.col("g"), max_distance=-9.0, max_z=-1.0).collect()
