@@ -1,8 +1,8 @@
 """Best-fit packing of documents into windows by bin completion.
 
 A document longer than a window fills whole windows of its own; what remains of
-it is an item like any other. Items are spread by hash over buckets, each bucket's
-stream is cut into chunks of ``chunk`` items, and every chunk is packed alone:
+it is an item like any other. Items are spread by hash over buckets, and every
+bucket (or, if asked for, every chunk of ``chunk`` of its items) is packed alone:
 best-fit decreasing gives the incumbent, and branch and bound tries to beat it. A
 branch completes the window of the largest item left with every undominated
 filling; it is cut when the waste so far leaves no room for one window fewer.
@@ -11,6 +11,7 @@ Only ids and lengths are shuffled.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -116,6 +117,7 @@ class _Search:
         if waste < 0:
             return None
         kept = list(self.counts)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * sum(kept) + 1000))  # a call for each window and item
         try:
             return down(0, waste, [])
         except _Spent:
@@ -144,7 +146,7 @@ def pack(sizes: list[int], capacity: int, nodes: int) -> list[list[int]]:
     return bins
 
 
-def _packer(capacity: int, chunk: int, nodes: int):
+def _packer(capacity: int, chunk: int | None, nodes: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, number, held = None, 0, []
 
@@ -184,7 +186,7 @@ def _packer(capacity: int, chunk: int, nodes: int):
     return packed
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, chunk: int = 256, bucket_rows: int = 8192, nodes: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, chunk: int | None = None, bucket_rows: int = 8192, nodes: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lay every token of every document out in windows of ``capacity`` tokens.
 
     Returns ``id_col, window, at, start, tokens``: from token ``start`` of the

@@ -263,6 +263,12 @@ def test_packing_layout(spark, odd):
     assert Counter(r.doc_id for r in packing.pack_documents(odd, capacity=100_000).collect()) == {1: 2, None: 1, 5: 1, 6: 1, 7: 1}
 
 
+def test_packing_whole_stream(spark):
+    docs = [(i, "x " * 5) for i in range(1600)]
+    out = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), capacity=2048).collect()
+    assert len({r.window for r in out}) == 4 and sum(r.tokens for r in out) == 8000
+
+
 def test_hnsw_recall_and_odd(spark):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(20, 24))[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 24)) * 0.5).astype(np.float32)
