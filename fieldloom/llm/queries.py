@@ -14,7 +14,7 @@ from .hnsw import nearest_neighbours
 from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
-from .ngram_jaccard import jaccard_join
+from .ngram_jaccard import jaccard_classes
 from .packing import pack_documents
 from .perplexity import perplexity_verdicts
 from .url_tree import filter_urls
@@ -32,7 +32,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), threshold=0.6, n=3)
+    return jaccard_classes(table(spark, sf_dir, "documents"), threshold=0.6, n=3)
 
 
 def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,17 +155,19 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 WHERE d.text IS NULL OR removed = 0 OR trim(replace(replace(replace(k.text, {_NL}, ''), chr(13), ''), chr(9), '')) <> ''
 """,
     "op3_ngram_jaccard": r"""
-WITH word AS (
-    SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
-), node AS (SELECT min(doc_id) AS d, w FROM word WHERE len(w) > 0 GROUP BY w),
+WITH RECURSIVE word AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), node AS (SELECT min(doc_id) AS d, w, count(*) AS copies FROM word WHERE len(w) > 0 GROUP BY w),
 gram AS (
     SELECT DISTINCT d, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM node
 ), size AS (SELECT d, count(*) AS n FROM gram GROUP BY d),
-both_ AS (SELECT a.d AS a, b.d AS b, count(*) AS k FROM gram a JOIN gram b ON a.g = b.g AND a.d < b.d GROUP BY a.d, b.d)
-SELECT a AS doc_a, b AS doc_b, k / (x.n + y.n - k) AS jaccard
-FROM both_ JOIN size x ON x.d = a JOIN size y ON y.d = b WHERE k / (x.n + y.n - k) >= 0.6
-UNION ALL
-SELECT DISTINCT n.d, o.doc_id, 1.0::DOUBLE FROM word o JOIN node n ON o.w = n.w WHERE n.d < o.doc_id
+both_ AS (SELECT a.d AS a, b.d AS b, count(*) AS k FROM gram a JOIN gram b ON a.g = b.g AND a.d <> b.d GROUP BY a.d, b.d),
+near AS (SELECT a, b FROM both_ JOIN size x ON x.d = a JOIN size y ON y.d = b WHERE k / (x.n + y.n - k) >= 0.6),
+reach AS (SELECT d, d AS r FROM node UNION SELECT reach.d, near.b FROM reach JOIN near ON near.a = reach.r),
+class AS (SELECT d, min(r) AS class_id FROM reach GROUP BY d),
+links AS (SELECT a AS d, sum(o.copies) AS n FROM near JOIN node o ON o.d = near.b GROUP BY a)
+SELECT word.doc_id, coalesce(class.class_id, word.doc_id) AS class_id, CAST(coalesce(node.copies - 1 + coalesce(links.n, 0), 0) AS BIGINT) AS links
+FROM word LEFT JOIN node ON word.w = node.w LEFT JOIN class ON class.d = node.d LEFT JOIN links ON links.d = node.d
 """,
     "op5_warc_revisits": r"""
 WITH rec AS (

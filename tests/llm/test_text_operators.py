@@ -27,6 +27,7 @@ def rows(df):
         lambda d: mixing.mix_sources(d, target_entropy=0.9),
         lambda d: line_dedup.dedup_lines(d),
         lambda d: ngram_jaccard.jaccard_join(d),
+        lambda d: ngram_jaccard.jaccard_classes(d),
         lambda d: ngram_jaccard.drop_near_duplicates(d),
         lambda d: perplexity.perplexity_verdicts(d),
         lambda d: langid.identify(d),
@@ -96,18 +97,55 @@ def test_jaccard_brute(spark):
     assert got[(0, 200)] == 1.0 and got[(203, 204)] == 1.0
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_jaccard_all_pairs_of_copies(spark, block):
+def brute_classes(docs):
+    """Class and links of each id, over all pairs of documents."""
+    sets = {i: grams(t) for i, t in docs if t and grams(t)}
+    near = {a: {b for b in sets if b != a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6} for a in sets}
+    out = {}
+    for i, _ in docs:
+        seen, todo = {i}, [i]
+        while todo:
+            for b in near.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        out[i] = (min(seen), len(near.get(i, ())))
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_jaccard_classes_brute(spark, block):
+    """Groups of copies and of near copies, in one block and in many."""
     rng = np.random.default_rng(6)
-    base = [f"w{x}" for x in rng.integers(0, 500, 60)]
-    near = base[:-1] + ["other"]
-    docs = [(k, " ".join(base)) for k in (3, 1, 8, 5, 12)] + [(k, " ".join(near) + "!" * k) for k in (2, 9, 4)] + [(20, "alone here"), (21, None), (3, " ".join(base))]
-    got = rows(ngram_jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), block=block))
-    sets = {i: grams(t) for i, t in docs if t}
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
-    want = {p: j for p, j in want.items() if j >= 0.6}
-    assert len(want) == 28 and len(got) == 28 and {(a, b) for a, b, _ in got} == set(want)
-    assert all(math.isclose(j, want[a, b]) for a, b, j in got)
+    docs = []
+    for k in range(9):
+        base = [f"w{x}" for x in rng.integers(0, 900, 80)]
+        for c in range(1 + 5 * k):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(0, 80))] = f"n{rng.integers(0, 9999)}"
+            docs.append((int(rng.permutation(10_000)[0]) * 500 + len(docs), " ".join(w) + "!" * (c % 3)))
+    docs += [(7, docs[-1][1]), (8, docs[-1][1].upper()), (9, None), (10, ""), (11, "one two"), (12, "One, two"), (13, ". ; ")]
+    got = rows(ngram_jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), block=block))
+    assert {i: (c, n) for i, c, n in got} == brute_classes(docs) and len(got) == len(docs)
+
+
+def test_jaccard_ids_of_any_type_and_repeats(spark):
+    base = " ".join(f"w{x}" for x in range(40))
+    docs = [("b", base), ("a", base + " end"), ("c", base.upper()), ("c", base.upper()), ("z", "quite another text here"), (None, base), ("y", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    assert {i: (c, n) for i, c, n in rows(ngram_jaccard.jaccard_classes(df))} == {"a": ("a", 2), "b": ("a", 2), "c": ("a", 2), "z": ("z", 0), "y": ("y", 0)}
+    assert {(a, b) for a, b, _ in rows(ngram_jaccard.jaccard_join(df))} == {("a", "b"), ("b", "c")}
+    assert Counter(r[0] for r in rows(ngram_jaccard.drop_near_duplicates(df))) == {"a": 1, "z": 1, "y": 1, None: 1}
+    two = spark.createDataFrame([(1, base), (1, "quite another text here"), (2, base), (3, "Quite another, text here")], "doc_id long, text string")
+    assert {i: (c, n) for i, c, n in rows(ngram_jaccard.jaccard_classes(two))} == {1: (1, 2), 2: (1, 1), 3: (1, 1)}
+
+
+def test_bands():
+    assert ngram_jaccard.choose_bands(0.6, 0.995, 96) == (3, 22) and ngram_jaccard.choose_bands(0.05, 0.995, 96) == (1, 104)
+    for threshold in (0.3, 0.6, 0.9):
+        r, b = ngram_jaccard.choose_bands(threshold, 0.995, 96)
+        assert 1 - (1 - threshold**r) ** b >= 0.995
 
 
 def test_groups_of_a_long_chain(spark):
