@@ -326,3 +326,43 @@ def test_hnsw_recall_and_odd(spark):
     assert hnsw.nearest_neighbours(df.filter("vec_id < 3"), k=10).count() == 6
     assert hnsw.nearest_neighbours(df.filter("vec_id = 1"), k=10).count() == 0
     assert hnsw.nearest_neighbours(df.limit(0), k=10).count() == 0
+
+
+def brute_neighbours(ids, x, queries, k):
+    d = {q: sorted((np.sqrt(((x[i].astype(float) - x[ids.index(q)].astype(float)) ** 2).sum()), ids[i]) for i in range(len(ids)) if ids[i] != q)[:k] for q in queries}
+    return {q: [n for _, n in v] for q, v in d.items()}
+
+
+def test_hnsw_copies_and_text_ids(spark):
+    """Hundreds of equal vectors in a shard don't hide the others; ids may be texts, and clashing columns don't matter."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[100:500] = x[100]
+    x[500:520] = x[500]
+    ids = [f"v{i:04d}" for i in range(900)]
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2, 3) for i, v in zip(ids, x)], "vec_id string, embedding array<float>, shard int, x int, ids int")
+    asked = [ids[i] for i in (0, 5, 100, 300, 499, 505, 700, 899)]
+    got = defaultdict(list)
+    for r in sorted(hnsw.nearest_neighbours(df, df.filter(df.vec_id.isin(asked)), k=10).collect(), key=lambda r: (r.vec_id, r.rank)):
+        got[r.vec_id].append(r.neighbour)
+    want = brute_neighbours(ids, x, asked, 10)
+    assert set(got) == set(asked) and np.mean([len(set(got[q]) & set(want[q])) / 10 for q in asked]) >= 0.95
+    assert got[ids[300]] == ids[100:110] and got[ids[100]] == ids[101:111] and got[ids[505]] == ids[500:505] + ids[506:511]
+
+
+def test_hnsw_query_recall(spark):
+    """The registered query on the largest table against brute force."""
+    from fieldloom.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    t = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(t.embedding), t.vec_id.to_numpy()
+    got = defaultdict(set)
+    for r in queries.op10_hnsw(spark, sf).collect():
+        got[r.vec_id].add(r.neighbour)
+    hit = []
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit.append(len(got[ids[i]] & set(ids[np.argsort(d)[:10]].tolist())) / 10)
+    assert len(hit) == len(got) and np.mean(hit) >= 0.95
