@@ -84,4 +84,4 @@ def key_filter(keys: DataFrame, count: int, most_bytes: int = 64 << 20) -> Calla
         return pa.array(holds(h, shard_of(h, shards), thawed[0]))
 
     has.__annotations__ = {"key": pa.Array, "return": pa.Array}
-    return F.arrow_udf(has, "boolean")
+    return F.arrow_udf(has, "boolean").asNondeterministic()  # else a filter on it may be copied to where no Python runs

@@ -292,7 +292,7 @@ def nearest_neighbours(
         sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
         return pa.table({"shard": t.column("shard").slice(0, 1), "sizes": pa.array([sizes.tobytes()], pa.binary()), "ids": pa.ListArray.from_arrays(pa.array([0, int(sizes.sum())], pa.int32()), ids.flatten()), "graph": pa.array([graph.dump()], pa.binary())})
 
-    graphs = cut(nodes.groupBy("shard").applyInArrow(build, f"shard int, sizes binary, ids array<{kind}>, graph binary"))
+    graphs = cut(nodes.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(build, f"shard int, sizes binary, ids array<{kind}>, graph binary"))
 
     def search(asks: pa.Table, shard: pa.Table) -> pa.Table:
         names = ["id", "neighbour", "d"]

@@ -5,8 +5,9 @@ latest earlier full response of the same canonical URL; if the validators of the
 two agree, it stands for that response's payload under the response's headers,
 freshened by those of its own that RFC 9111 lets through.
 
-The as-of step is a window over keys, dates and row keys alone; payloads are only
-joined, by row key, to the revisits that use them.
+The as-of step is a window over keys, dates and row keys alone, and validators are
+compared on headers alone. Payloads move last and once: those of responses that a
+resolved revisit uses, which a Bloom filter picks out where they are read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from . import bloom
+from .common import col, cut
 
 #: Parameters that don't choose content.
 TRACKING = "^(utm_[^=]*|ref|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)"
@@ -77,7 +79,6 @@ def resolve_revisits(
     out as often as they come in, repeated responses count once. An empty table
     gives no rows. Other types and columns are ignored.
     """
-    (key,) = fresh(records, "row_key")
     empty = F.create_map().cast("map<string,string>")
     plain = records.select(
         col(records, id_col).alias("id"),
@@ -97,8 +98,9 @@ def resolve_revisits(
     matched = events.unionAll(asked).withColumn("found", F.max("found").over(earlier)).filter("ask IS NOT NULL AND found IS NOT NULL")
     matched = matched.select("ask", F.col("found.key").alias("key"), F.col("found.id").alias("source_id")).distinct()
 
-    full = responses.select("key", F.col("own").alias("theirs"), "payload").dropDuplicates(["key"])
-    found = matched.join(full, "key").drop("key").withColumnRenamed("ask", "key")
+    wanted = matched.select("key").distinct()
+    stored_by = responses.select("key", F.col("own").alias("theirs")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    found = matched.join(stored_by, "key").withColumnsRenamed({"key": "source_key", "ask": "key"})
     out = revisits.join(found, "key", "left")
 
     def weak(v: Column) -> Column:
@@ -112,16 +114,23 @@ def resolve_revisits(
     status = F.when(F.col("theirs").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
     allowed = F.filter("own", lambda e: ~e["key"].isin(*NOT_MERGED))
     stored = F.filter("theirs", lambda e: ~F.exists(allowed, lambda x: x["key"] == e["key"]))
-    out = out.withColumn("status", status)
     good = F.col("status") == "resolved"
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("url").alias("canonical_url"),
-        "source_id",
-        "status",
-        F.map_from_entries(F.array_sort(F.when(good, F.concat(stored, allowed)).otherwise(F.col("own")))).alias("headers"),
-        F.when(good, F.col("payload")).alias("payload"),
+    out = cut(
+        out.withColumn("status", status).select(
+            "id",
+            F.col("url").alias("canonical_url"),
+            "source_id",
+            "status",
+            F.map_from_entries(F.array_sort(F.when(good, F.concat(stored, allowed)).otherwise(F.col("own")))).alias("headers"),
+            F.when(good, F.col("source_key")).alias("source_key"),
+        )
     )
+    used = out.filter("source_key IS NOT NULL").select(F.xxhash64("source_id").alias("used")).distinct()
+    has = bloom.key_filter(used, used.count())
+    payloads = responses.filter(has(F.xxhash64("id")) if has else F.lit(True)).select("key", "payload").filter("payload IS NOT NULL")
+    payloads = payloads.dropDuplicates(["key"])
+    out = out.join(payloads, F.col("source_key") == F.col("key"), "left")
+    return out.select(F.col("id").alias(id_col), "canonical_url", "source_id", "status", "headers", "payload")
 
 
 def crawl_log(pages: DataFrame) -> DataFrame:

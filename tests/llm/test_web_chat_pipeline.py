@@ -34,6 +34,19 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], REC)).count() == 0
 
 
+def test_revisits_long_empty_and_unused_payloads(spark):
+    """Very long and empty payloads come through whole; responses without a revisit, and clashing columns, don't matter."""
+    from datetime import datetime, timedelta
+
+    t = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    long = "<p>" * 300_000
+    recs = [(i, "response", f"h.org/{i}", t(0), {"ETag": f'"{i}"'}, long if i == 3 else "" if i == 4 else None if i == 5 else f"body {i}", "s", 1) for i in range(200)]
+    recs += [(1000 + i, "revisit", f"h.org/{i}", t(1), {"ETag": f'"{i}"'}, None, None, 2) for i in range(3, 8)]
+    out = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(recs, REC + ", source_key long")).collect()}
+    assert {k: r.payload for k, r in out.items()} == {1003: long, 1004: "", 1005: None, 1006: "body 6", 1007: "body 7"}
+    assert all(r.status == "resolved" and r.source_id == k - 1000 for k, r in out.items())
+
+
 def test_templates_of_urls(spark):
     rows = [(i, f"https://h.org/{l}/{i * 17}", i % 10 > 0) for i, l in enumerate(["en", "fr", "de"] * 40)]
     rows += [(1000 + i, f"http://H.org/junk/buy-{i}.html?x={i}", False) for i in range(30)]
