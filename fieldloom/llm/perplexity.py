@@ -257,6 +257,30 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other) -> np
     return np.where(keys[at] == wanted, values[at], other)
 
 
+def _index(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Where the keys with each value of their top bits start; about one key to a value."""
+    bits = max(1, int(len(keys)).bit_length())
+    shift = np.uint64(64 - bits)
+    start = np.zeros((1 << bits) + 1, np.int32 if len(keys) < 1 << 31 else np.int64)
+    np.cumsum(np.bincount((keys >> shift).astype(np.int64), minlength=1 << bits), out=start[1:])
+    return start[:-1], shift
+
+
+def _find_hashed(keys: np.ndarray, values: np.ndarray, index: tuple[np.ndarray, np.uint64], wanted: np.ndarray) -> np.ndarray:
+    """As ``_find`` does, 0 for what isn't there, among hashes: a step from the start that the top bits give, not a search."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    start, shift = index
+    at = np.minimum(start[(wanted >> shift).astype(np.int64)].astype(np.int64), len(keys) - 1)
+    todo = np.flatnonzero(keys[at] < wanted)
+    while len(todo):
+        at[todo] += 1
+        todo = todo[at[todo] < len(keys)]
+        todo = todo[keys[at[todo]] < wanted[todo]]
+    at = np.minimum(at, len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
 def _scorer_table(batches):
     """Of a language's bucket, each half's n-grams with their log probabilities under the other half."""
     for batch in batches:
@@ -353,11 +377,14 @@ def _looked_up(rows: DataFrame, held) -> DataFrame:
         of, names = _keys(lang, half)
         for g in np.unique(of):
             at = np.flatnonzero(of == g)
-            hashes, values = held.value.get(names[g], (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
+            arrays = held.value.setdefault(names[g], (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
+            if len(arrays) == 2:  # once in a worker
+                arrays = held.value[names[g]] = (*arrays, _index(arrays[0]))
+            hashes, values, index = arrays
             b_all, o_all = tv.buffers(text.take(pa.array(at)))
             for i, j in tv.slices(o_all):
                 hi, lo, first = _grams(b_all[o_all[i] : o_all[j]], o_all[i : j + 1] - o_all[i])
-                total[at[i:j]] = tv.sum_by(_find(hashes, values, _hash(hi, lo), 0.0), first)
+                total[at[i:j]] = tv.sum_by(_find_hashed(hashes, values, index, _hash(hi, lo)), first)
                 length[at[i:j]] = np.diff(first)
         return pa.StructArray.from_arrays([pa.array(total), pa.array(length)], names=["total", "length"])
 
