@@ -9,8 +9,8 @@ spent; of the block in which it ends, documents are taken in hash order as far a
 they fit.
 
 Only the vector of source totals reaches the driver. Windows run over blocks, not
-documents, and inside the one block of a source in which its budget ends, so a
-large source is not one task.
+documents, in two levels of sums, and inside the one block of a source in which
+its budget ends, so a large source is not one task.
 """
 
 from __future__ import annotations
@@ -104,10 +104,12 @@ def mix_sources(
     n_epoch, n_block, n_slot, n_tok = fresh(docs, *(extra or ("epoch", "block", "slot", "tokens")))
     n_src, n_total, n_left, n_rank, n_cum = fresh(docs, "src", "total", "left", "rank", "cum")
     ident, source, text = col(docs, id_col), col(docs, source_col), col(docs, text_col)
-    counted = docs.withColumn(n_tok, count_tokens(text)).filter(F.col(n_tok) > 0)
-    blocks_of = F.greatest(F.lit(1), F.ceil(F.col(n_total) / block_tokens))
+    place = _hash(F.lit(seed), F.lit("block"), ident)
+    blocks_of = lambda total: F.greatest(F.lit(1), F.ceil(F.col(total) / block_tokens))
 
-    totals = cut(counted.groupBy(source.alias("src")).agg(F.sum(n_tok).alias("total")))
+    # Texts are cut into tokens once for all that is planned; the plan needs sums over sources and places alone.
+    counted = cut(docs.select(source.alias("src"), place.alias("place"), count_tokens(text).alias("tokens")).filter("tokens > 0").groupBy("src", "place").agg(F.sum("tokens").alias("tokens")))
+    totals = cut(counted.groupBy("src").agg(F.sum("tokens").alias("total")))
     vector = np.array([r[0] for r in totals.select("total").toLocalIterator()], dtype=float)
     vector.sort()
     if not len(vector):
@@ -120,33 +122,43 @@ def mix_sources(
     log_max = math.log(vector[-1])
     norm = float(np.exp((np.log(vector) - log_max) * exponent).sum())
     weight = F.exp((F.log("total") - log_max) * exponent) / norm
-    totals = totals.select("src", "total", F.floor(weight * tokens + 1e-6).alias("budget"))
+    whole_budget = F.floor(weight * tokens + 1e-6)
+    if budget == "cover":  # rounding must not take the last document of the source that sets the budget
+        whole_budget = F.greatest(whole_budget, F.col("total"))
+    totals = totals.select("src", "total", whole_budget.alias("budget"))
 
     n_sources = totals.count()
-    side = totals.select(F.col("src").alias(n_src), F.col("total").alias(n_total))
-    blocked = counted.join(maybe_broadcast(side, n_sources), source.eqNullSafe(F.col(n_src)))
-    blocked = blocked.withColumn(n_block, F.pmod(_hash(F.lit(seed), F.lit("block"), ident), blocks_of))
-
-    blocks = blocked.groupBy(F.col(n_src).alias("src"), F.col(n_block).alias("block")).agg(F.sum(n_tok).alias("tokens"))
-    blocks = cut(blocks)
-    plan = blocks.join(maybe_broadcast(totals.withColumnRenamed("src", "of"), n_sources), F.col("src").eqNullSafe(F.col("of")))
-    plan = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1e-9) / F.col("total")).cast("int")))).filter("budget > 0")
-    order = Window.partitionBy("src", "epoch").orderBy(_hash(F.lit(seed), F.col("epoch"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    plan = plan.withColumn("start", F.col("epoch") * F.col("total") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    of = maybe_broadcast(totals.withColumnRenamed("src", "of"), n_sources)
+    blocks = counted.join(of, F.col("src").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("place", blocks_of("total")))
+    blocks = cut(blocks.groupBy("src", "block", "total", "budget").agg(F.sum("tokens").alias("tokens")))
+    plan = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1e-9) / F.col("total")).cast("int")))).filter("budget > 0")
+    # A permutation's running sums in two levels, so that the blocks of a large source are not ordered in one task.
+    plan = plan.withColumn("order", _hash(F.lit(seed), F.col("epoch"), F.col("block"))).withColumn("coarse", F.floor(F.col("order") / (1 << 18)))
+    coarse = plan.groupBy("src", "epoch", "coarse").agg(F.sum("tokens").alias("sum"))
+    before = Window.partitionBy("src", "epoch").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select(F.col("src").alias("c_src"), F.col("epoch").alias("c_epoch"), F.col("coarse").alias("c"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    plan = plan.join(coarse, F.col("src").eqNullSafe(F.col("c_src")) & (F.col("epoch") == F.col("c_epoch")) & (F.col("coarse") == F.col("c")))
+    order = Window.partitionBy("src", "epoch", "coarse").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumn("start", F.col("epoch") * F.col("total") + F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     plan = plan.filter("start < budget")
     left = F.col("budget") - F.col("start")
     plan = cut(plan.select("src", "block", "epoch", F.round(F.col("start") / F.col("budget"), 9).alias("slot"), F.when(left < F.col("tokens"), left).alias("left")))
     n_plan = plan.count()
     plan = plan.select(F.col("src").alias(n_src), F.col("block").alias(n_block), F.col("epoch").alias(n_epoch), F.col("slot").alias(n_slot), F.col("left").alias(n_left))
 
-    # The two branches split the plan, so both are map-side while it is small enough to broadcast.
+    # Rows find their blocks by id alone. The two branches split the plan, so both are map-side while it is small enough to broadcast.
+    n_of, n_src_p, n_block_p = fresh(docs, n_src + "_of", n_src + "_p", n_block + "_p")
+    side = totals.select(F.col("src").alias(n_of), F.col("total").alias(n_total))
+    usable = docs.filter(text.rlike("[^ \\t\\n\\r]")).join(maybe_broadcast(side, n_sources), source.eqNullSafe(F.col(n_of)))
+    usable = usable.withColumn(n_block_p, F.pmod(place, blocks_of(n_total)))
+
     def with_plan(part: DataFrame) -> DataFrame:
-        right = maybe_broadcast(part.withColumnRenamed(n_src, n_src + "_p").withColumnRenamed(n_block, n_block + "_p"), n_plan, BROADCAST_ROWS)
-        return blocked.join(right, (F.col(n_block) == F.col(n_block + "_p")) & F.col(n_src).eqNullSafe(F.col(n_src + "_p")))
+        right = maybe_broadcast(part, n_plan, BROADCAST_ROWS)
+        return usable.join(right, (F.col(n_block_p) == F.col(n_block)) & F.col(n_of).eqNullSafe(F.col(n_src)))
 
-    whole = with_plan(plan.filter(F.col(n_left).isNull()))
-    last = with_plan(plan.filter(F.col(n_left).isNotNull()))
-    within = Window.partitionBy(n_src, n_epoch, n_block).orderBy(n_rank, id_col, n_tok, text_col).rowsBetween(Window.unboundedPreceding, 0)
+    whole = with_plan(plan.filter(F.col(n_left).isNull())).withColumn(n_tok, count_tokens(text))
+    last = with_plan(plan.filter(F.col(n_left).isNotNull())).withColumn(n_tok, count_tokens(text))
+    within = Window.partitionBy(n_src, n_epoch, n_block).orderBy(F.col(n_rank), ident, F.col(n_tok), text).rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn(n_rank, _hash(F.lit(seed), F.col(n_epoch), ident)).withColumn(n_cum, F.sum(n_tok).over(within)).filter(F.col(n_cum) <= F.col(n_left))
     names = [*docs.columns, *([n_epoch, n_block, n_slot, n_tok] if extra else [])]
     pick = lambda df: df.select(*[col(df, c) for c in names])
