@@ -4,7 +4,8 @@ A small template language is parsed into a syntax tree, constants are folded, an
 the tree becomes nested Python closures; nothing is evaluated as Python source.
 The language reads data and nothing else: subscripts and attributes are looked up
 in mappings and lists only, names that begin with an underscore are refused, and
-a rendering may take only so many steps.
+a rendering may take only so many steps and make texts of only so many characters,
+both in proportion to what it is given.
 
 Text, ``{{ expression }}``, ``{% if %} {% elif %} {% else %} {% endif %}``,
 ``{% for x in list %} {% endfor %}`` (with ``loop``), ``{% set x = .. %}``,
@@ -393,6 +394,25 @@ def fold_block(body: list) -> list:
     return out
 
 
+#: Under this key, which no template can name, variables hold the longest text or list that may be made.
+_LIMIT = " limit"
+
+
+def _bounded(value, c):
+    if isinstance(value, (str, list)) and len(value) > c.get(_LIMIT, 1 << 20):
+        raise TemplateError("too long a value")
+    return value
+
+
+def _size(v) -> int:
+    """Characters and items in a value."""
+    if isinstance(v, str):
+        return len(v)
+    if isinstance(v, dict):
+        return sum(1 + _size(x) for x in v.values())
+    return sum(1 + _size(x) for x in v) if isinstance(v, list) else 1
+
+
 def _expression(node):
     kind = node[0]
     if kind == "const":
@@ -412,7 +432,7 @@ def _expression(node):
 
         def filtered(c):
             try:
-                return f(inner(c), *[a(c) for a in args])
+                return _bounded(f(inner(c), *[a(c) for a in args]), c)
             except TypeError:
                 raise TemplateError(f"filter {node[1]!r} can't take that") from None
 
@@ -422,7 +442,7 @@ def _expression(node):
         return lambda c: t(inner(c))
     if kind == "binary":
         f, a, b = _BINARY[node[1]], _expression(node[2]), _expression(node[3])
-        return lambda c: f(a(c), b(c))
+        return lambda c: _bounded(f(a(c), b(c)), c)
     parts = [_expression(x) for x in node[1:]]
     if kind == "not":
         return lambda c: not parts[0](c)
@@ -445,12 +465,14 @@ def _expression(node):
 
 
 class _Output:
-    def __init__(self, steps: int):
-        self.parts, self.length, self.spans, self.steps = [], 0, [], steps
+    def __init__(self, steps: int, chars: int):
+        self.parts, self.length, self.spans, self.steps, self.chars = [], 0, [], steps, chars
 
     def write(self, text: str) -> None:
         self.parts.append(text)
         self.length += len(text)
+        if self.length > self.chars:
+            raise TemplateError("too long an output")
 
     def step(self) -> None:
         self.steps -= 1
@@ -522,19 +544,33 @@ def _statement(node):
     return loop
 
 
-def compile_template(source: str, max_steps: int = 10_000_000):
-    """A function from variables to ``text, spans``; what a loop's body sets ends with the turn of the loop."""
-    run = _block(fold_block(parse(source)))
+def compile_template(source: str, max_steps: int | None = None, max_chars: int | None = None):
+    """A function from variables to ``text, spans``; what a loop's body sets ends with the turn of the loop.
+
+    A rendering may take ``max_steps`` prints and turns of loops, and its output,
+    or any one value, ``max_chars`` characters. By default both are a million and
+    a hundred times the size of the variables, so long inputs aren't refused for
+    being long. A template whose tags or brackets nest too deeply is refused.
+    """
+    try:
+        run = _block(fold_block(parse(source)))
+    except RecursionError:
+        raise TemplateError("nested too deeply") from None
 
     def render(**variables) -> tuple[str, list[tuple[int, int]]]:
-        out = _Output(max_steps)
-        run(variables, out)
+        room = 1_000_000 + 100 * _size(variables)
+        chars = room if max_chars is None else max_chars
+        out = _Output(room if max_steps is None else max_steps, chars)
+        try:
+            run({**variables, _LIMIT: chars}, out)
+        except RecursionError:
+            raise TemplateError("nested too deeply") from None
         return "".join(out.parts), out.spans
 
     return render
 
 
-def render_conversations(turns: DataFrame, template: str = CHATML, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", variables: dict | None = None) -> DataFrame:
+def render_conversations(turns: DataFrame, template: str = CHATML, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", variables: dict | None = None, max_steps: int | None = None, max_chars: int | None = None) -> DataFrame:
     """One row for each conversation: ``id_col, text, generation, error``.
 
     The template sees ``messages``, a list of ``role`` and ``content`` in the
@@ -544,14 +580,16 @@ def render_conversations(turns: DataFrame, template: str = CHATML, id_col: str =
     Where the template raises or can't do what it says, text and generation are
     null and ``error`` says why; elsewhere error is null. Null roles and contents
     are none to the template and print as nothing; empty contents are empty texts.
-    Rows with a null id make one conversation. Repeated rows are repeated turns.
-    An empty table gives no rows. Other columns are ignored.
+    A row with a null id is a conversation alone, as nothing says which it is of.
+    Repeated rows are repeated turns. An empty table gives no rows. Other columns
+    are ignored. ``max_steps`` and ``max_chars`` are those of ``compile_template``;
+    beyond them is an error like others. A conversation is one value of one row.
     """
     compile_template(template)  # a wrong template fails here, not in a task
     given = dict(variables or {})
 
     def render(turns: pa.Array) -> pa.Array:
-        run = compile_template(template)
+        run = compile_template(template, max_steps, max_chars)
         texts, spans, errors = [], [], []
         for messages in turns.to_pylist():
             try:
@@ -568,5 +606,6 @@ def render_conversations(turns: DataFrame, template: str = CHATML, id_col: str =
     render.__annotations__ = {"turns": pa.Array, "return": pa.Array}
     made = F.arrow_udf(render, "text string, generation array<struct<start: long, end: long>>, error string")
     part = F.struct(col(turns, turn_col).cast("long").alias("turn"), col(turns, role_col).alias("role"), col(turns, text_col).alias("content"))
-    grouped = turns.groupBy(col(turns, id_col).alias("id")).agg(F.sort_array(F.collect_list(part)).alias("turns"))
+    alone = F.when(col(turns, id_col).isNull(), F.monotonically_increasing_id())
+    grouped = turns.select(col(turns, id_col).alias("id"), alone.alias("alone"), part.alias("part")).groupBy("id", "alone").agg(F.sort_array(F.collect_list("part")).alias("turns"))
     return grouped.select("id", made("turns").alias("r")).select(F.col("id").alias(id_col), "r.*")

@@ -102,7 +102,7 @@ def filter_urls(
     few_numbers: int = 3,
     few_words: int = 8,
     rare_share: float = 0.3,
-    max_depth: int | None = 12,
+    max_depth: int | None = None,
     max_distance: float = 0.15,
     max_z: float = 2.0,
     strength: float = 8.0,
@@ -117,8 +117,8 @@ def filter_urls(
     Below one node, segments of one shape are generalised when there are at least
     ``few_numbers`` of them (``few_words`` for a shape without digits) and their
     number is at least ``rare_share`` of their rows, however many there are; so
-    frequent ones stay branches. ``alike`` says which siblings are merged. Without
-    ``max_depth`` paths are followed to their end. A template's purity is its share of good
+    frequent ones stay branches. ``alike`` says which siblings are merged. Paths are
+    followed to their end, unless ``max_depth`` is given. A template's purity is its share of good
     labels, smoothed by ``strength`` labels at its host's share, which is smoothed
     alike by that of all; a template is rejected if that is below ``min_purity``.
     Without any label in the table the share of all is 1.

@@ -53,7 +53,7 @@ def test_templates_of_urls(spark):
     rows += [(2000 + i, f"h.org/about/{w}", None) for i, w in enumerate(["us", "team", "us", "team"] * 5)]
     rows += [(3000, None, True), (3001, "", True), (3002, "h.org", True), (3003, "http://h.org/" + "d/" * 40, None), (None, "h.org/en/5", None), (3002, "h.org", True)]
     df = spark.createDataFrame(rows, "page_id long, url string, good_label boolean")
-    out = url_tree.filter_urls(df, F.col("good_label")).collect()
+    out = url_tree.filter_urls(df, F.col("good_label"), max_depth=12).collect()
     assert len(out) == len(rows)
     by = {r.page_id: r for r in out}
     assert by[0].template == "/{de|en|fr}/{n}" and not by[0].rejected and by[0].purity > 0.7
@@ -104,12 +104,28 @@ def test_template_language():
         chat.compile_template("{% for a in x %}{% for b in x %}{{ b }}{% endfor %}{% endfor %}", max_steps=50)(x=list(range(10)))
 
 
+def test_template_sandbox():
+    """Deep nesting is a TemplateError, and neither steps nor memory run away; long inputs are no reason to refuse."""
+    for bad in ("{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}", "{% if x %}" * 3000 + "{% endif %}" * 3000):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)()
+    doubling = "{% set x = 'ab' %}" + "{% set x = x ~ x %}" * 40
+    for bad in (doubling, "{% for m in xs %}{{ x }}{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad, max_chars=10_000)(x="y" * 100, xs=list(range(1000)))
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(doubling)()
+    long = ["word " * 200_000] * 3
+    assert chat.compile_template("{% for m in xs %}{{ m | upper }}{{ m ~ m }}{% endfor %}")(xs=long)[0].startswith("WORD")
+
+
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", "yes", "k"), (1, 0, "user", "hi?", "k"), (2, 0, "assistant", None, None), (2, 0, "assistant", None, None), (None, 0, None, "x", None), (3, None, "user", "", None), (4, 0, "user", "long " * 50_000, None)]
+    rows = [(1, 1, "assistant", "yes", "k"), (1, 0, "user", "hi?", "k"), (2, 0, "assistant", None, None), (2, 0, "assistant", None, None), (None, 0, None, "x", None), (None, 1, None, "x", None), (3, None, "user", "", None), (4, 0, "user", "long " * 50_000, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, generation string")
     got = {r.conv_id: r for r in chat.render_conversations(df).collect()}
     assert got[1].text == "<|im_start|>user\nhi?<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n"
     assert [got[1].text[g.start : g.end] for g in got[1].generation] == ["yes<|im_end|>"]
+    assert chat.render_conversations(df).filter("conv_id IS NULL").count() == 2
     assert len(got[2].generation) == 2 and got[None].text == "<|im_start|>\nx<|im_end|>\n" and got[3].generation == [] and len(got[4].text) > 250_000
     failed = {r.conv_id: r for r in chat.render_conversations(df, "{% if messages[0].role != 'user' %}{{ raise_exception('order') }}{% endif %}ok").collect()}
     assert failed[2].error == "order" and failed[2].text is None and failed[1].text == "ok"
