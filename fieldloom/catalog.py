@@ -45,7 +45,7 @@ _LONG = "l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_su
 _R = f"""{_LONG}, p AS (
   SELECT {{step}} 'c' || a.pos AS component, 'f' || lpad(b.pos::VARCHAR, 2, '0') AS feature, count(*) AS n,
     CASE WHEN stddev_pop(a.v) * stddev_pop(b.v) = 0 THEN NULL ELSE covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) END AS r
-  FROM l a JOIN l b USING (vec_id) WHERE a.pos < 4 AND b.pos BETWEEN 8 AND 15 GROUP BY ALL HAVING count(*) >= 10),
+  FROM l a JOIN l b USING (vec_id) WHERE a.pos <> b.pos GROUP BY ALL HAVING count(*) >= 10),
 k AS (SELECT *, row_number() OVER (PARTITION BY {{step}} component ORDER BY abs(r) DESC NULLS LAST, feature) AS rank FROM p)"""
 
 
@@ -200,14 +200,14 @@ def asof_nearest_unbounded(spark, sf):
     return jn.asof_nearest_unbounded(e.filter("event_type = 'purchase'").select("event_id", "ts"), e.filter("event_type = 'error'").select(F.col("ts").alias("error_ts")), "ts", "error_ts").select("event_id", "error_ts")
 
 
-_USER = "WITH u AS (SELECT DISTINCT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS step FROM events WHERE user_id = 7)"
+_USER = "WITH u AS (SELECT DISTINCT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS step FROM events), w AS (SELECT DISTINCT user_id FROM u)"
 
 
 def _user_steps(spark, sf) -> DataFrame:
     return _t(spark, sf, "events").select("user_id", F.window("ts", "6 hours")["start"].alias("step"))
 
 
-@query(_USER + " SELECT g AS step FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 18:00:00', INTERVAL 6 HOUR) t(g) WHERE g NOT IN (SELECT step FROM u)")
+@query(_USER + " SELECT user_id, g AS step FROM w, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 18:00:00', INTERVAL 6 HOUR) t(g) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.user_id = w.user_id AND u.step = g)")
 def gap_report(spark, sf):
     return jn.missing_steps(_user_steps(spark, sf), "step", "2024-01-01 00:00:00", "2024-01-31 00:00:00", "6 HOURS", ("user_id",))
 
@@ -217,12 +217,12 @@ def duplicate_report(spark, sf):
     return ag.duplicates(_t(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day")), ["user_id", "event_type", "day"])
 
 
-@query(_USER + ", c AS (SELECT step::DATE AS day, count(*) AS n FROM u GROUP BY 1) SELECT g::DATE AS day, coalesce(n, 0) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) t(g) LEFT JOIN c ON c.day = g::DATE WHERE coalesce(n, 0) <> 4")
+@query(_USER + ", c AS (SELECT user_id, step::DATE AS day, count(*) AS n FROM u GROUP BY ALL) SELECT w.user_id, g::DATE AS day, coalesce(n, 0) AS n FROM (SELECT * FROM w, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) t(g)) w LEFT JOIN c ON c.day = g::DATE AND c.user_id = w.user_id WHERE coalesce(n, 0) <> 4")
 def incomplete_days(spark, sf):
     return ag.incomplete_days(_user_steps(spark, sf), "step", "2024-01-01", "2024-01-30", 4, ("user_id",))
 
 
-@query(_USER + " SELECT step FROM u WHERE step + INTERVAL 6 HOUR IN (SELECT step FROM u) AND step - INTERVAL 6 HOUR IN (SELECT step FROM u)")
+@query(_USER + " SELECT user_id, step FROM u WHERE EXISTS (SELECT 1 FROM u a WHERE a.user_id = u.user_id AND a.step = u.step + INTERVAL 6 HOUR) AND EXISTS (SELECT 1 FROM u a WHERE a.user_id = u.user_id AND a.step = u.step - INTERVAL 6 HOUR)")
 def three_step_window(spark, sf):
     return jn.with_neighbours(_user_steps(spark, sf), "step", "6 HOURS", ("user_id",))
 
@@ -312,7 +312,7 @@ h AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS
 
 @query(f"WITH {_CURVE} SELECT round(threshold, 6) AS threshold, tp, n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM h")
 def pr_curve(spark, sf):
-    return _r(me.pr_curve(_scored(spark, sf), "p", "y"), "threshold", "precision", "recall", "f1")
+    return _r(me.pr_curve(_scored(spark, sf), "p", "y").drop("positives"), "threshold", "precision", "recall", "f1")
 
 
 @query(f"WITH {_CURVE} SELECT round(sum(x), 6) AS average_precision FROM (SELECT precision * (recall - coalesce(lag(recall) OVER (ORDER BY threshold DESC), 0)) AS x FROM h)")

@@ -32,8 +32,16 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation aggregate; null where a side is constant."""
+def both_finite(x: Column, y: Column) -> tuple[Column, Column]:
+    """The two as doubles, both null unless both are finite."""
+    x, y = x.cast("double"), y.cast("double")
+    ok = finite(x) & finite(y)
+    return F.when(ok, x), F.when(ok, y)
+
+
+def pearson(x: Column, y: Column, complete: bool = False) -> Column:
+    """Correlation aggregate over the rows in which both are finite (all are, if ``complete``); null where a side is constant."""
+    x, y = (x, y) if complete else both_finite(x, y)
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
@@ -154,3 +162,40 @@ def gamma_in_name(name: Column) -> Column:
 
 def to_pascal(p: Column, largest: Column) -> Column:
     return F.when(largest < 2000, p * 100.0).otherwise(p)
+
+
+def to_hectopascal(p: Column, largest: Column) -> Column:
+    return F.when(largest > 2000, p / 100.0).otherwise(p)
+
+
+def mask_time_in_name(name: Column) -> Column:
+    """``YYYYMMDD`` or ``YYYYMMDD_HH`` (also with T or -) in a mask's file name; midnight without an hour."""
+    day, hour = F.regexp_extract(name, r"(?<!\d)(\d{8})(?!\d)", 1), F.regexp_extract(name, r"(?<!\d)\d{8}[T_-](\d{2})", 1)
+    day = F.when(day == "", F.regexp_extract(name, r"(?<!\d)(\d{8})[T_-]\d{2}", 1)).otherwise(day)
+    return F.coalesce(F.try_to_timestamp(F.concat(day, F.lit(" "), F.when(hour == "", "00").otherwise(hour)), F.lit("yyyyMMdd HH")), time_in_name(name))
+
+
+def month_bounds(ts: Column) -> tuple[Column, Column]:
+    """First day of the month, and of the next."""
+    first = F.trunc(ts, "month")
+    return first, F.add_months(first, 1)
+
+
+def valid_time(center: Column, lead_hours: Column, stored: Column | None = None) -> Column:
+    """The stored time where there is one, else the centre and the lead."""
+    made = F.timestamp_micros(micros(center) + (lead_hours * 3_600_000_000).cast("long"))
+    return made if stored is None else F.coalesce(stored.cast("timestamp"), made)
+
+
+def log_grid(low: float, high: float, n: int) -> list[float]:
+    """``n`` numbers from 10^low to 10^high, evenly spaced in the exponent."""
+    return [10.0 ** (low + (high - low) * k / max(1, n - 1)) for k in range(n)]
+
+
+def season_angles(ts: Column) -> tuple[Column, Column, Column, Column]:
+    """Sine and cosine of the day of the year (from 0, over 365.25) and of the hour of the day."""
+    return *cyclic(F.dayofyear(ts) - 1, 365.25), *cyclic(F.hour(ts), 24.0)
+
+
+def component_name(k: Column) -> Column:
+    return F.format_string("PC_%d", k)

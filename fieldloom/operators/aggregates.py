@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import finite, nan_to_null, ratio
+from ..functions import feature_level, finite, nan_to_null, ratio
 
 
 def vector_mean(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -97,6 +97,52 @@ def importance_by_field(df: DataFrame, name: str, coef: str) -> DataFrame:
     return df.groupBy(field.alias("field")).agg(F.sum(F.abs(F.col(coef))).alias("importance"))
 
 
+def importance_by_level(df: DataFrame, name: str, coef: str) -> DataFrame:
+    """By level index as text, ``static`` for fields without levels."""
+    level = F.coalesce(feature_level(F.col(name)).cast("string"), F.lit("static"))
+    return df.groupBy(level.alias("level")).agg(F.sum(F.abs(F.col(coef))).alias("importance"))
+
+
+def importance_by_band(df: DataFrame, name: str, coef: str) -> DataFrame:
+    """By lower, mid and upper third of the level indices present; ``static`` for fields without levels."""
+    leveled = df.withColumn("_l", feature_level(F.col(name)))
+    bands = level_bands(leveled, "_l")  # a row for each level
+    return leveled.join(F.broadcast(bands), "_l", "left").groupBy(F.coalesce("band", F.lit("static")).alias("band")).agg(F.sum(F.abs(F.col(coef))).alias("importance"))
+
+
+def correlation_summary(screened: DataFrame, keys: list[str], r: str = "r") -> DataFrame:
+    """Over the steps: mean correlation, mean and largest size, number of steps that have one."""
+    v = nan_to_null(F.col(r))
+    return screened.groupBy(*keys).agg(F.avg(v).alias("mean_corr"), F.avg(F.abs(v)).alias("mean_abs"), F.max(F.abs(v)).alias("max_abs"), F.count(v).alias("count"))
+
+
+def neighbour_counts(pairs: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """Smallest, middle and largest number of neighbours of all nodes, those without any too."""
+    n = nodes.select(node).join(pairs.groupBy(node).agg(F.count("*").alias("n")), node, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return n.agg(F.min("n").alias("min"), F.median("n").alias("median"), F.max("n").alias("max"))
+
+
+def class_balance(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    y = F.col(label).cast("double")
+    return df.groupBy(*keys).agg(F.count(label).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.avg(y).alias("rate"))
+
+
+def day_climatology(df: DataFrame, day: str, value: str, least_bins: int = 300) -> DataFrame:
+    """Mean and number of each of the 365 days; an error if fewer than ``least_bins`` of them have a row."""
+    out = df.filter(F.col(day).isNotNull()).groupBy(day).agg(F.avg(nan_to_null(F.col(value))).alias("mean"), F.count("*").alias("n"))
+    bins = out.count()
+    if bins < least_bins:
+        raise ValueError(f"only {bins} of the days of the year have rows; {least_bins} are needed")
+    return out
+
+
+def strongest(df: DataFrame, columns: list[str], out: str = "strongest") -> DataFrame:
+    """The name of the column with the number of largest size (of ties the first named), and that number; null without any."""
+    cells = F.array(*[F.struct(F.abs(nan_to_null(F.col(c))).alias("size"), F.lit(-k).alias("k"), F.lit(c).alias("name"), nan_to_null(F.col(c)).alias("value")) for k, c in enumerate(columns)])
+    best = F.array_max(F.filter(cells, lambda s: s["size"].isNotNull()))
+    return df.withColumn(out, best["name"]).withColumn(out + "_value", best["value"])
+
+
 def level_bands(df: DataFrame, level: str) -> DataFrame:
     """Levels present and their band: the first third by position is lower, the next mid, the last upper."""
     levels = df.select(level).filter(F.col(level).isNotNull()).distinct()

@@ -87,10 +87,51 @@ def every_nth(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 
 
 def scramble(df: DataFrame, vector: str, seed: int = 0) -> DataFrame:
-    """Each row's vector in a random order of its own: a null test."""
-    order = F.transform(F.col(vector), lambda v, i: F.struct(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), i).alias("h"), v.alias("v")))
+    """Each row's vector in a random order that its numbers and the seed decide, however rows are partitioned: a null test."""
+    order = F.transform(F.col(vector), lambda v, i: F.struct(F.xxhash64(F.lit(seed), F.col(vector), i).alias("h"), i.alias("i"), v.alias("v")))
     return df.withColumn(vector, F.transform(F.array_sort(order), lambda s: s["v"]))
 
 
+def before_and_from(df: DataFrame, ts: str, date) -> tuple[DataFrame, DataFrame]:
+    """Rows before a date, and from it on."""
+    return df.filter(F.col(ts) < F.lit(date)), df.filter(F.col(ts) >= F.lit(date))
+
+
+def at_hours(df: DataFrame, ts: str, hours: list[int]) -> DataFrame:
+    return df.filter(F.hour(ts).isin(*hours))
+
+
+def outside_year(df: DataFrame, ts: str, year: int) -> DataFrame:
+    """Rows whose time is in another year; null times are none."""
+    return df.filter((F.col(ts) < F.lit(f"{year}-01-01")) | (F.col(ts) >= F.lit(f"{year + 1}-01-01")))
+
+
+def up_to_level(df: DataFrame, nodes: DataFrame, node: str, level: int, only: bool = False) -> DataFrame:
+    """Rows of the nodes that a mesh level has, or that are new in it; the nodes are a mesh's, a fixed table."""
+    have = nodes.filter(F.col("first_level") == level if only else F.col("first_level") <= level)
+    return df.join(have.select(node), node, "left_semi")
+
+
+def by_level_map(targets: DataFrame, levels: DataFrame, level: str) -> DataFrame:
+    """Targets with the index that their exact level has in a table of levels; others go."""
+    return targets.join(levels, level)
+
+
+def explained_and_not(results: DataFrame, r2: str, well: float = 0.5, badly: float = 0.3) -> DataFrame:
+    """Results whose R2 is at least ``well``, or below ``badly``, with ``list``: which of the two."""
+    return results.withColumn("list", F.when(F.col(r2) >= well, "well").when(F.col(r2) < badly, "badly")).filter("list IS NOT NULL")
+
+
+def select_leads(df: DataFrame, keys: list[str], lead: str, which: str, batch: str | None = None) -> DataFrame:
+    """Rows of batch 0 at ``all`` leads, or the ``first`` or ``last`` of each key."""
+    if which not in ("all", "first", "last"):
+        raise ValueError(f"all, first or last, not {which!r}")
+    df = df if batch is None else df.filter(F.col(batch) == 0)
+    if which == "all":
+        return df
+    end = df.groupBy(*[F.col(k).alias("_k_" + k) for k in keys]).agg((F.min if which == "first" else F.max)(lead).alias("_lead"))
+    return df.join(end, [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys] + [F.col(lead) == F.col("_lead")], "left_semi")
+
+
 def rename_if_absent(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumnRenamed(old, new) if new not in df.columns else df

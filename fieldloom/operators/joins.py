@@ -26,12 +26,26 @@ def asof_nearest(left: DataFrame, right: DataFrame, ts: str, other: str, toleran
 
 
 def asof_nearest_unbounded(left: DataFrame, right: DataFrame, ts: str, other: str) -> DataFrame:
-    """As above without a tolerance: the last before and the first after, by two windows over the union."""
-    both = left.withColumn("_t", F.col(ts)).withColumn("_r", F.lit(None).cast(right.schema[other].dataType))
+    """As above without a tolerance: the last before and the first after, by windows over the union within pieces of the time range.
+
+    What lies beyond a piece is its neighbours' nearest times, a row for each piece.
+    """
+    ends = right.agg(F.min(micros(F.col(other))).alias("low"), F.max(micros(F.col(other))).alias("high")).first()
+    parts = 4 * max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    low, width = ends.low or 0, max(1, ((ends.high or 0) - (ends.low or 0)) // parts + 1)
+    piece = lambda c: F.least(F.greatest(F.floor((micros(c) - low) / width), F.lit(-1)), F.lit(parts + 1)).cast("long")
+    kind = right.schema[other].dataType
+    spans = right.filter(F.col(other).isNotNull()).groupBy(piece(F.col(other)).alias("_p")).agg(F.min(other).alias("_lo"), F.max(other).alias("_hi"))
+    spine = left.sparkSession.range(-1, parts + 2).select(F.col("id").alias("_p")).join(spans, "_p", "left")
+    order = Window.orderBy("_p")
+    spine = spine.select("_p", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    both = left.withColumn("_t", F.col(ts)).withColumn("_r", F.lit(None).cast(kind))
     times = right.select(F.col(other)).distinct()
     both = both.unionByName(times.select(F.col(other).alias("_t"), F.col(other).alias("_r")), allowMissingColumns=True)
-    before = F.last("_r", True).over(Window.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", True).over(Window.orderBy("_t").rangeBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("_p", piece(F.col("_t"))).join(F.broadcast(spine), "_p", "left")
+    inside = Window.partitionBy("_p").orderBy("_t")
+    before = F.coalesce(F.last("_r", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)), F.col("_below"))
+    after = F.coalesce(F.first("_r", True).over(inside.rangeBetween(0, Window.unboundedFollowing)), F.col("_above"))
     found = both.withColumn("_a", before).withColumn("_z", after).filter(F.col(ts).isNotNull())
     near = F.when(F.col("_a").isNull(), F.col("_z")).when(F.col("_z").isNull(), F.col("_a"))
     near = near.when(micros(F.col("_t")) - micros(F.col("_a")) <= micros(F.col("_z")) - micros(F.col("_t")), F.col("_a")).otherwise(F.col("_z"))
@@ -69,8 +83,14 @@ def radius_pairs(points: DataFrame, nodes: DataFrame, radius: float, point_id: s
     return p.join(n, ["cx", "cy", "cz"]).withColumn("chord", d).filter(F.col("chord") <= radius).select(point_id, node_id, "chord")
 
 
-def match_by_place(a: DataFrame, b: DataFrame, digits: int = 8) -> DataFrame:
-    """Rows of ``a`` joined to those of ``b`` at the same rounded ``x, y, z``."""
+def match_by_place(a: DataFrame, b: DataFrame, digits: int = 8, strict: bool = False) -> DataFrame:
+    """Rows of ``a`` joined to those of ``b`` at the same rounded ``x, y, z``; if ``strict``, exactly one for each or an error."""
+    if strict:
+        on = [F.round(F.col(c), digits).alias("_" + c) for c in "xyz"]
+        there = b.groupBy(*on).agg(F.count("*").alias("_n"))
+        wrong = a.select(*on).join(there, ["_x", "_y", "_z"], "left").agg(F.count_if("_n IS NULL").alias("none"), F.count_if("_n > 1").alias("many")).first()
+        if wrong.none or wrong.many:
+            raise ValueError(f"{wrong.none} places without a match, {wrong.many} with several")
     key = lambda df: df.select("*", *[F.round(F.col(c), digits).alias("_" + c) for c in "xyz"])
     return key(a).join(key(b).drop("x", "y", "z"), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
 
@@ -118,6 +138,45 @@ def with_neighbours(df: DataFrame, ts: str, step: str, keys: tuple[str, ...] = (
     return out
 
 
+def join_all(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left rows joined on the keys; an error if one has no partner."""
+    lost = left.join(right.select(*keys).distinct(), keys, "left_anti").limit(1).count()
+    if lost:
+        raise ValueError(f"rows without a partner at {', '.join(keys)}")
+    return left.join(right, keys)
+
+
+def other_node_sets(df: DataFrame, step: str, node: str) -> DataFrame:
+    """Steps whose set of nodes isn't that of the first step, or that have a node twice: ``step, nodes, rows``."""
+    each = df.groupBy(step).agg(F.count("*").alias("rows"), F.count_distinct(node).alias("nodes"), F.sum(F.xxhash64(F.col(node)).cast("decimal(38,0)")).alias("_h"))
+    first = each.agg(F.min_by("nodes", step).alias("_n1"), F.min_by("_h", step).alias("_h1"))
+    return each.crossJoin(F.broadcast(first)).filter((F.col("nodes") != F.col("_n1")) | (F.col("_h") != F.col("_h1")) | (F.col("rows") != F.col("nodes"))).select(step, "nodes", "rows")
+
+
+def complete_windows(starts: DataFrame, steps: DataFrame, ts: str, before_steps: int, after_steps: int, step: str = "6 HOURS") -> DataFrame:
+    """Starts with every step from ``before_steps`` before to ``after_steps`` after them: what a forecast needs."""
+    want = F.explode(F.sequence(F.lit(-before_steps), F.lit(after_steps)))
+    asks = starts.select(ts).distinct().select(F.col(ts).alias("_s"), want.alias("_k")).select("_s", (F.col("_s") + F.col("_k") * F.expr(f"INTERVAL {step}")).alias(ts))
+    full = asks.join(steps.select(ts).distinct(), ts).groupBy("_s").agg(F.count("*").alias("_n")).filter(F.col("_n") == before_steps + after_steps + 1)
+    return full.select(F.col("_s").alias(ts))
+
+
+def require_window(starts: DataFrame, steps: DataFrame, ts: str, before_steps: int, after_steps: int, step: str = "6 HOURS") -> None:
+    """An error if a start lacks one of its steps."""
+    lost = starts.select(ts).distinct().join(complete_windows(starts, steps, ts, before_steps, after_steps, step), ts, "left_anti").limit(1).collect()
+    if lost:
+        raise ValueError(f"{lost[0][0]} lacks a step")
+
+
+def first_usable_step(starts: DataFrame, marks: DataFrame, ts: str, mark: str, steps: int, tolerance_s: int, step_s: int = 21600, backward: bool = False) -> DataFrame:
+    """Per start the first of its ``steps`` (from 0 on, or the last, if ``backward``) with a mark within the tolerance: ``ts, step, mark``."""
+    at = starts.select(ts).distinct().select(F.col(ts).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    at = at.withColumn("_at", F.timestamp_micros(micros(F.col("_s")) + F.col("step") * (step_s * 1_000_000))).withColumn("_id", F.struct("_s", "step"))
+    found = asof_nearest(at, marks, "_at", mark, tolerance_s, "_id")
+    end = (F.max if backward else F.min)(F.struct("step", mark))
+    return found.groupBy("_s").agg(end.alias("_e")).select(F.col("_s").alias(ts), "_e.step", F.col("_e")[mark].alias(mark))
+
+
 def starts_with_both_ends(starts: DataFrame, marks: DataFrame, ts: str, mark: str, first_s: int, last_s: int, tolerance_s: int) -> DataFrame:
     """Starts that have a mark within the tolerance of both ``first_s`` and ``last_s`` after them."""
     out = starts.select(ts).distinct()

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ratio
+from ..functions import both_finite, finite, ratio
+from .windows import running_sums
 
 
 def pr_curve(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """One row for each distinct score as the threshold: ``threshold, tp, n, precision, recall, f1``.
+    """One row for each distinct score as the threshold: ``threshold, positives, tp, n, precision, recall, f1``.
 
-    Rows are first counted per score, so the window runs over distinct scores.
+    ``positives`` are those at this very score. Rows without a finite score or
+    without a truth are left out. Rows are first counted per score; sums over
+    scores run in pieces of their range.
     """
-    by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count("*").alias("c"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("tp", F.sum("p").over(w)).withColumn("n", F.sum("c").over(w)).withColumn("all", F.sum("p").over(Window.partitionBy()))
+    by = df.filter(finite(F.col(score)) & F.col(truth).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold"))
+    by = by.agg(F.sum(F.col(truth).cast("long")).alias("positives"), F.count("*").alias("c"))
+    whole = by.agg(F.sum("positives").alias("all"))
+    run = running_sums(by, "threshold", ["positives", "c"], descending=True).withColumnsRenamed({"run_positives": "tp", "run_c": "n"}).crossJoin(F.broadcast(whole))
     p, r = F.col("tp") / F.col("n"), ratio(F.col("tp"), F.col("all"), 0.0)
-    return run.select("threshold", "tp", "n", p.alias("precision"), r.alias("recall"), (2 * p * r / F.greatest(p + r, F.lit(1e-12))).alias("f1"))
+    return run.select("threshold", "positives", "tp", "n", p.alias("precision"), r.alias("recall"), (2 * p * r / F.greatest(p + r, F.lit(1e-12))).alias("f1"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return curve.withColumn("_s", step * F.col("precision")).agg(F.sum("_s").alias("average_precision"))
+    """Each score's share of the positives is its step of recall. 0 without a positive."""
+    return curve.agg(ratio(F.sum(F.col("positives") * F.col("precision")), F.sum("positives"), 0.0).alias("average_precision"))
 
 
 def best_f1(curve: DataFrame) -> DataFrame:
@@ -32,9 +36,9 @@ def best_f1(curve: DataFrame) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Rank-sum form with mean ranks for ties; null if a class is missing."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = by.withColumn("rank", below + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("pos"), F.sum("c").alias("n"))
+    by = df.filter(finite(F.col(score)) & F.col(truth).isNotNull()).groupBy(F.col(score).cast("double").alias("s"))
+    by = by.agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count("*").alias("c"))
+    t = running_sums(by, "s", ["c"], before=True).withColumn("rank", F.col("run_c") + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("pos"), F.sum("c").alias("n"))
     return t.select(F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos"))).alias("roc_auc"))
 
 
@@ -53,6 +57,22 @@ def event_metrics(df: DataFrame, event: str, score: str, truth: str, thresholds:
     return g.select("*", (o > 0).cast("int").alias("found"), ratio(o, F.col("true_area")).alias("recall"), ratio(o, F.col("predicted_area"), 0.0).alias("precision"), ratio(o, F.col("union"), 0.0).alias("iou"), ratio(F.col("predicted_area"), F.col("true_area")).alias("area_ratio"))
 
 
+def metrics_by_threshold(metrics: DataFrame) -> DataFrame:
+    """Means over the events of found, recall, precision, IoU and area ratio at each threshold."""
+    return metrics.groupBy("threshold").agg(*[F.avg(c).alias("mean_" + c) for c in ("found", "recall", "precision", "iou", "area_ratio")], F.count("*").alias("events"))
+
+
+def with_metadata(metrics: DataFrame, metadata: DataFrame, event: str) -> DataFrame:
+    """Every event's metrics with what is known of it; an event without metadata stays."""
+    return metrics.join(metadata, event, "left")
+
+
+def mask_stats(df: DataFrame, mask: str, label: str) -> DataFrame:
+    """Positive cells, all labelled ones and the share of positives in each mask."""
+    y = F.col(label) > 0
+    return df.groupBy(mask).agg(F.count_if(y).alias("positives"), F.count(label).alias("cells"), F.avg(y.cast("double")).alias("share"))
+
+
 def threshold_scores(score: Column, truth: Column, threshold: float) -> dict[str, Column]:
     p, y = score >= threshold, truth == 1
     tp, precision, recall = F.count_if(p & y), ratio(F.count_if(p & y), F.count_if(p), 0.0), ratio(F.count_if(p & y), F.count_if(y), 0.0)
@@ -60,5 +80,6 @@ def threshold_scores(score: Column, truth: Column, threshold: float) -> dict[str
 
 
 def residual_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    y, f = F.col(truth).cast("double"), F.col(predicted).cast("double")
-    return df.agg((1 - F.try_divide(F.sum((y - f) * (y - f)), F.var_pop(y) * F.count("*"))).alias("r2"), F.sqrt(F.avg((y - f) * (y - f))).alias("rmse"), F.try_divide(F.covar_pop(y, f), F.stddev_pop(y) * F.stddev_pop(f)).alias("corr"))
+    """Over the rows in which both are finite."""
+    y, f = both_finite(F.col(truth), F.col(predicted))
+    return df.agg((1 - F.try_divide(F.sum((y - f) * (y - f)), F.var_pop(y) * F.count(y))).alias("r2"), F.sqrt(F.avg((y - f) * (y - f))).alias("rmse"), F.try_divide(F.covar_pop(y, f), F.stddev_pop(y) * F.stddev_pop(f)).alias("corr"))

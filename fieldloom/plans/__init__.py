@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import latitude, longitude, pearson
+from ..functions import latitude, longitude
 from ..operators.aggregates import screening_summary
-from ..operators.linear import logistic_probe, probabilities
+from ..operators.linear import correlations, logistic_probe, probabilities
 from ..operators.metrics import average_precision, event_metrics, pr_curve, roc_auc
 from ..operators.windows import ranked
 
@@ -18,18 +18,14 @@ from ..operators.windows import ranked
 def screen(df: DataFrame, step: list[str], components: dict, features: dict, min_rows: int = 10, apart: dict | None = None) -> DataFrame:
     """Correlation of every component with every feature in each step: ``step, component, feature, r, abs_r, rank``.
 
-    Both are given as columns by name. One aggregation with a row for each
-    component gives all pairs, but that of a component with the feature that
-    ``apart`` names for it; fewer rows than ``min_rows`` give none, a constant side
-    a null r.
+    Both are given as columns by name. Rows in which any of them isn't finite are
+    left out. One Gram matrix a step gives all pairs, but that of a component with
+    the feature that ``apart`` names for it; fewer such rows than ``min_rows`` give
+    none, a constant side a null r, which ranks last.
     """
     apart = apart or {}
-    sides = F.array(*[F.struct(F.lit(a).alias("component"), c.cast("double").alias("x")) for a, c in components.items()])
-    base = df.select(*step, F.explode(sides).alias("e"), *[c.cast("double").alias(f"f_{k}") for k, c in features.items()]).select(*step, "e.*", *[f"f_{k}" for k in features])
-    aggs = [pearson(F.col("x"), F.col(f"f_{b}")).alias(f"r_{b}") for b in features]
-    wide = base.groupBy(*step, "component").agg(F.count("*").alias("rows"), *aggs).filter(F.col("rows") >= min_rows)
-    cells = F.array(*[F.struct(F.lit(b).alias("feature"), F.col(f"r_{b}").alias("r")) for b in features])
-    long = wide.select(*step, "component", F.explode(cells).alias("e")).select(*step, "component", "e.*").withColumn("abs_r", F.abs("r"))
+    every = F.array(*[c.cast("double") for c in (*components.values(), *features.values())])
+    long = correlations(df.select(*step, every.alias("_x")), step, "_x", list(components), list(features), min_rows).withColumn("abs_r", F.abs("r"))
     if apart:
         long = long.filter(~F.concat_ws("\0", "component", "feature").isin([f"{a}\0{b}" for a, b in apart.items()]))
     return ranked(long, [*step, "component"], "abs_r", "feature")
@@ -86,6 +82,12 @@ def mesh_nodes(spark: SparkSession, level: int) -> DataFrame:
     return df.withColumn("lat", latitude(F.col("z"))).withColumn("lon", longitude(F.col("x"), F.col("y"), True))
 
 
+def longest_edge(level: int) -> float:
+    """Chord length of the longest edge of a mesh level."""
+    points, faces, _ = icosphere(level)
+    return float(max(np.linalg.norm(points[faces[:, i]] - points[faces[:, j]], axis=1).max() for i, j in ((0, 1), (1, 2), (2, 0))))
+
+
 def mesh_edges(spark: SparkSession, level: int) -> DataFrame:
     _, faces, _ = icosphere(level)
     f = spark.createDataFrame([tuple(map(int, x)) for x in faces], "a int, b int, c int")

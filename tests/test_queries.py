@@ -33,4 +33,4 @@ def test_agrees(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 32
+    assert entry.entry(spark).count() == 64 * 63
