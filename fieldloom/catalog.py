@@ -5,12 +5,13 @@ Every query runs over whole tables. Doubles are rounded to 6 places on both side
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import clip, day_of_year_365, feature_field, feature_level, lead_label, micros, nearest_six_hours, project, solar_hour
+from .functions import clip, component_name, day_of_year_365, feature_field, feature_level, lead_label, log_grid, micros, month_bounds, nearest_six_hours, pearson, project, season_angles, solar_hour, valid_time
 from .operators import aggregates as ag
 from .operators import filters as pf
 from .operators import joins as jn
@@ -18,7 +19,8 @@ from .operators import linear as la
 from .operators import metrics as me
 from .operators import similarity as si
 from .operators import windows as wi
-from .plans import mesh_nodes, screen, winners
+from . import streaming as st
+from .plans import longest_edge, mesh_nodes, screen, winners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -459,7 +461,7 @@ def mesh_radius_mean(spark, sf):
     nodes = mesh_nodes(spark, 3)
     lat, lon = F.radians((F.col("c_custkey") * 37 % 1801) / 10.0 - 90), F.radians(F.col("c_custkey") * 101 % 3600 / 10.0)
     p = _t(spark, sf, "customer").select("c_custkey", "c_acctbal", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
-    pairs = jn.radius_pairs(p, nodes, 0.6 * 0.165, "c_custkey", "node").join(p.select("c_custkey", "c_acctbal"), "c_custkey")
+    pairs = jn.radius_pairs(p, nodes, 0.6 * longest_edge(3), "c_custkey", "node").join(p.select("c_custkey", "c_acctbal"), "c_custkey")
     return _r(ag.radius_mean(pairs, nodes, "node", "c_acctbal"), "mean")
 
 
@@ -477,3 +479,242 @@ def mean_and_sample_std(spark, sf):
 def topk_in_group(spark, sf):
     o = _t(spark, sf, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")))
     return o.filter("k <= 5").select("o_orderkey", "o_totalprice")
+
+
+_HOLES = "h AS (SELECT vec_id, label, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 11 = 0 THEN 'NaN'::DOUBLE ELSE embedding[1]::DOUBLE END AS a, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN 'NaN'::DOUBLE ELSE embedding[2]::DOUBLE END AS b, 1.0::DOUBLE AS c FROM embeddings), g AS (SELECT * FROM h WHERE a IS NOT NULL AND NOT isnan(a) AND b IS NOT NULL AND NOT isnan(b))"
+
+
+def _holes(spark, sf) -> DataFrame:
+    """Two positions with planted nulls and NaN, and a constant."""
+    e, n, at = _t(spark, sf, "embeddings"), F.col("vec_id"), lambda k: F.get("embedding", F.lit(k)).cast("double")
+    hole = lambda null, nan, v: F.when(n % null == 0, F.lit(None)).when(n % nan == 0, F.lit(float("nan"))).otherwise(v)
+    return e.select("vec_id", "label", hole(7, 11, at(0)).alias("a"), hole(5, 13, at(1)).alias("b"), F.lit(1.0).alias("c"))
+
+
+@query(f"WITH {_HOLES}, r AS (SELECT label, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS r FROM g GROUP BY 1 HAVING count(*) >= 10) SELECT label, 'b' AS feature, round(r, 6) AS r, 1::BIGINT AS rank FROM r UNION ALL SELECT label, 'c', NULL, 2 FROM r")
+def screen_with_missing(spark, sf):
+    """Rows without one of the values count for no pair; the constant feature ranks last."""
+    h = _holes(spark, sf)
+    out = screen(h, ["label"], {"a": F.col("a")}, {"b": F.col("b"), "c": F.col("c")})
+    return out.select("label", "feature", F.round("r", 6).alias("r"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_HOLES} SELECT label, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS r FROM g GROUP BY 1")
+def pearson_with_missing(spark, sf):
+    return _holes(spark, sf).groupBy("label").agg(F.round(pearson(F.col("a"), F.col("b")), 6).alias("r"))
+
+
+@query(f"WITH {_HOLES} SELECT round(1 - sum((a - b) * (a - b)) / (var_pop(a) * count(*)), 6) AS r2, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS corr FROM g")
+def residuals_with_missing(spark, sf):
+    return _r(me.residual_metrics(_holes(spark, sf), "a", "b"), "r2", "rmse", "corr")
+
+
+@query(f"WITH {_R.format(step='a.label,')} SELECT component, feature, round(avg(r), 6) AS mean_corr, round(avg(abs(r)), 6) AS mean_abs, round(max(abs(r)), 6) AS max_abs, count(r) AS \"count\" FROM p GROUP BY ALL")
+def correlation_summary(spark, sf):
+    return _r(ag.correlation_summary(_screened(spark, sf, ["label"]), ["component", "feature"]), "mean_corr", "mean_abs", "max_abs")
+
+
+@query("""WITH m AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_discount, l_extendedprice) AS b, corr(l_quantity, l_discount) AS c, stddev_pop(l_extendedprice) AS s FROM lineitem)
+SELECT round((a - b * c) / (1 - c * c) * s, 4) AS beta_quantity, round((b - a * c) / (1 - c * c) * s, 4) AS beta_discount, round((a * a + b * b - 2 * a * b * c) / (1 - c * c), 6) AS r2 FROM m""")
+def ols_several(spark, sf):
+    w, r2 = la.ols(*la.gram(_features(spark, sf), "x"), [0, 2], 1)
+    return spark.createDataFrame([(round(float(w[0]), 4), round(float(w[1]), 4), round(r2, 6))], "beta_quantity double, beta_discount double, r2 double")
+
+
+def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
+    x = F.array(*[F.col(c).cast("double") for c in _COLS])
+    rows = _t(spark, sf, "lineitem")
+    return rows.filter("l_orderkey % 4 <> 0").select(x.alias("x")), rows.filter("l_orderkey % 4 = 0").select(x.alias("x"))
+
+
+@query("""WITH t AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx, avg(l_extendedprice) AS my, covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem WHERE l_orderkey % 4 <> 0),
+f AS (SELECT l_extendedprice AS y, my + n * c / sx / (n + 1) * (l_quantity - mx) / sx AS f FROM lineitem, t WHERE l_orderkey % 4 = 0)
+SELECT 'l_extendedprice' AS target, 1 AS n_features, round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 6) AS r2_test, round(sqrt(avg((y - f) * (y - f))), 4) AS rmse_test, round(corr(y, f), 6) AS corr_test FROM f""")
+def ridge_grid_first(spark, sf):
+    """The first cell of a grid of targets and numbers of features, trained and tested on other orders."""
+    train, test = (la.gram(h, "x") for h in _halves(spark, sf))
+    grid = la.fit_grid(train, test, [0, 2, 3], [1], [1], [1.0])
+    return spark.createDataFrame([(_COLS[y], n, round(float(r2), 6), round(float(rmse), 4), round(float(c), 6)) for y, n, _, _, r2, rmse, c in grid], "target string, n_features int, r2_test double, rmse_test double, corr_test double")
+
+
+@query()
+def fit_grids(spark, sf):
+    """Every position of the embeddings from the first 4, 8, 16 and 32 others, by ridge and lasso; the alpha with the best R2 on held-out rows."""
+    e = _t(spark, sf, "embeddings")
+    train, test = la.gram(e.filter("vec_id % 4 <> 0"), "embedding"), la.gram(e.filter("vec_id % 4 = 0"), "embedding")
+    d = len(train[1])
+    rows = []
+    for kind, alphas in (("ridge", log_grid(-1, 3, 5)), ("lasso", log_grid(-3, 0, 4))):
+        grid = la.fit_grid(train, test, list(range(d // 2)), list(range(d // 2, d)), [4, 8, 16, d // 2], alphas, kind)
+        rows += [(kind, *map(float, r)) for r in la.best_alpha(grid)]
+    return spark.createDataFrame(rows, "kind string, target double, n_features double, alpha double, selected double, r2 double, rmse double, corr double")
+
+
+@query("""WITH c AS (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS quantity, corr(l_discount, l_extendedprice) AS discount, corr(l_tax, l_extendedprice) AS tax FROM lineitem GROUP BY 1)
+SELECT l_returnflag, CASE WHEN abs(quantity) >= abs(discount) AND abs(quantity) >= abs(tax) THEN 'quantity' WHEN abs(discount) >= abs(tax) THEN 'discount' ELSE 'tax' END AS strongest,
+round(CASE WHEN abs(quantity) >= abs(discount) AND abs(quantity) >= abs(tax) THEN quantity WHEN abs(discount) >= abs(tax) THEN discount ELSE tax END, 6) AS strongest_value FROM c""")
+def strongest_predictor(spark, sf):
+    c = _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(*[pearson(F.col("l_" + k), F.col("l_extendedprice")).alias(k) for k in ("quantity", "discount", "tax")])
+    return _r(ag.strongest(c, ["quantity", "discount", "tax"]), "strongest_value").select("l_returnflag", "strongest", "strongest_value")
+
+
+_NAMED = "n AS (SELECT CASE WHEN p_size % 10 = 0 THEN split_part(p_brand, '#', 1) ELSE split_part(p_brand, '#', 1) || '_lev' || lpad(p_size::VARCHAR, 2, '0') END AS name, sum(p_retailprice) - 100000 AS coef FROM part GROUP BY 1)"
+
+
+def _named(spark, sf) -> DataFrame:
+    name = F.when(F.col("p_size") % 10 == 0, F.split("p_brand", "#")[0]).otherwise(F.concat(F.split("p_brand", "#")[0], F.format_string("_lev%02d", F.col("p_size"))))
+    return _t(spark, sf, "part").groupBy(name.alias("name")).agg((F.sum("p_retailprice") - 100000).alias("coef"))
+
+
+@query(f"WITH {_NAMED} SELECT name, round(coef, 4) AS coef, row_number() OVER (ORDER BY abs(coef) DESC, name) AS place FROM n")
+def coefficient_ranking(spark, sf):
+    return la.rank_coefficients(_named(spark, sf), "name", "coef").select("name", F.round("coef", 4).alias("coef"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {_NAMED} SELECT coalesce(try_cast(nullif(regexp_extract(name, '_lev([0-9]+)$', 1), '') AS INTEGER)::VARCHAR, 'static') AS level, round(sum(abs(coef)), 4) AS importance FROM n GROUP BY 1")
+def importance_by_level(spark, sf):
+    return ag.importance_by_level(_named(spark, sf), "name", "coef").withColumn("importance", F.round("importance", 4))
+
+
+@query(f"""WITH {_NAMED}, v AS (SELECT *, try_cast(nullif(regexp_extract(name, '_lev([0-9]+)$', 1), '') AS INTEGER) AS level FROM n), l AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS i, greatest(1, count(*) OVER () // 3) AS t FROM (SELECT DISTINCT level FROM v WHERE level IS NOT NULL))
+SELECT CASE WHEN i IS NULL THEN 'static' WHEN i < t THEN 'lower' WHEN i < 2 * t THEN 'mid' ELSE 'upper' END AS band, round(sum(abs(coef)), 4) AS importance FROM v LEFT JOIN l USING (level) GROUP BY 1""")
+def importance_by_band(spark, sf):
+    return ag.importance_by_band(_named(spark, sf), "name", "coef").withColumn("importance", F.round("importance", 4))
+
+
+_METRICS = ORACLE_SQL["event_metrics"]
+
+
+@query(f"SELECT threshold, round(avg(found), 5) AS mean_found, round(avg(recall), 5) AS mean_recall, round(avg(precision), 5) AS mean_precision, round(avg(iou), 5) AS mean_iou, round(avg(area_ratio), 4) AS mean_area_ratio, count(*) AS events FROM ({_METRICS}) GROUP BY 1")
+def metrics_by_threshold(spark, sf):
+    out = me.metrics_by_threshold(event_metrics(spark, sf)).withColumn("mean_area_ratio", F.round("mean_area_ratio", 4))
+    return out.withColumns({c: F.round(c, 5) for c in ("mean_found", "mean_recall", "mean_precision", "mean_iou")})
+
+
+@query(f"SELECT m.lang, m.threshold, m.recall, d.documents FROM ({_METRICS}) m LEFT JOIN (SELECT lang, count(*) AS documents FROM documents WHERE lang <> 'fr' GROUP BY 1) d ON m.lang = d.lang")
+def metrics_with_metadata(spark, sf):
+    meta = _t(spark, sf, "documents").filter("lang <> 'fr'").groupBy("lang").agg(F.count("*").alias("documents"))
+    return me.with_metadata(event_metrics(spark, sf), meta, "lang").select("lang", "threshold", "recall", "documents")
+
+
+@query("SELECT source, count(*) FILTER (toxic > 0) AS positives, count(toxic) AS cells, round(avg((toxic > 0)::INTEGER), 6) AS share FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def mask_stats(spark, sf):
+    rows = jn.join_all(_t(spark, sf, "labels"), _t(spark, sf, "documents").select("doc_id", "source"), ["doc_id"])
+    return _r(me.mask_stats(rows, "source", "toxic"), "share")
+
+
+@query("SELECT lang, source, row_number() OVER (ORDER BY lang, source) - 1 AS event_number FROM (SELECT DISTINCT lang, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
+def event_numbers(spark, sf):
+    toxic = _t(spark, sf, "labels").filter("toxic = 1").join(_t(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return wi.event_numbers(toxic.select("lang", "source").distinct(), ["lang", "source"]).select("lang", "source", F.col("event_number").cast("long").alias("event_number"))
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT ts::DATE) AS days, count(DISTINCT event_type) AS kinds, sum((event_type = 'error')::INTEGER)::BIGINT AS positives, round(avg((event_type = 'error')::INTEGER), 6) AS rate FROM events GROUP BY 1")
+def class_balance(spark, sf):
+    e = _t(spark, sf, "events").withColumn("y", (F.col("event_type") == "error").cast("int"))
+    counts = e.groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("days"), F.count_distinct("event_type").alias("kinds"))
+    return _r(ag.class_balance(e, ["user_id"], "y"), "rate").join(counts, "user_id")
+
+
+@query("SELECT min(n) AS min, median(n) AS median, max(n) AS max FROM (SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1)")
+def neighbour_counts(spark, sf):
+    nodes = _t(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
+    return ag.neighbour_counts(_t(spark, sf, "orders").select(F.col("o_custkey").alias("node")), nodes, "node")
+
+
+@query("""WITH s AS (SELECT DISTINCT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS step FROM events), p AS (SELECT DISTINCT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS step FROM events WHERE event_type = 'purchase')
+SELECT p.step FROM p JOIN s ON s.step BETWEEN p.step - INTERVAL 6 HOUR AND p.step + INTERVAL 48 HOUR GROUP BY 1 HAVING count(*) = 10""")
+def forecast_windows(spark, sf):
+    """Steps with a purchase of which the step before and all of the two days after are there."""
+    e = _t(spark, sf, "events").select("event_type", F.window("ts", "6 hours")["start"].alias("step"))
+    return jn.complete_windows(e.filter("event_type = 'purchase'"), e, "step", 1, 8)
+
+
+_FIRST = """WITH p AS (SELECT DISTINCT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start FROM events WHERE event_type = 'signup'), m AS (SELECT DISTINCT ts FROM events WHERE event_type = 'error'),
+c AS (SELECT start, step::INTEGER AS step, ts, row_number() OVER (PARTITION BY start, step ORDER BY abs(epoch_us(ts) - epoch_us(start) - step * 21600000000), ts) AS k FROM p, range(20) t(step), m WHERE abs(epoch_us(ts) - epoch_us(start) - step * 21600000000) <= 300000000)
+SELECT start, arg_{end}(step, step) AS step, arg_{end}(ts, step) AS mark FROM c WHERE k = 1 GROUP BY 1"""
+
+
+def _usable(spark, sf, backward: bool) -> DataFrame:
+    e = _t(spark, sf, "events")
+    starts = e.filter("event_type = 'signup'").select(F.window("ts", "6 hours")["start"].alias("start"))
+    return jn.first_usable_step(starts, e.filter("event_type = 'error'").select(F.col("ts").alias("mark")), "start", "mark", 20, 300, backward=backward)
+
+
+@query(_FIRST.format(end="min"))
+def first_usable_step(spark, sf):
+    return _usable(spark, sf, False)
+
+
+@query(_FIRST.format(end="max"))
+def last_usable_step(spark, sf):
+    return _usable(spark, sf, True)
+
+
+@query("""WITH d AS (SELECT ts::DATE AS day, list_sort(list(DISTINCT user_id)) AS u, count(*) AS rows, count(DISTINCT user_id) AS nodes FROM events GROUP BY 1)
+SELECT day, nodes, rows FROM d WHERE u <> (SELECT arg_min(u, day) FROM d) OR rows <> nodes""")
+def other_node_sets(spark, sf):
+    return jn.other_node_sets(_t(spark, sf, "events").withColumn("day", F.to_date("ts")), "day", "user_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) <> 1995")
+def outside_year(spark, sf):
+    return pf.outside_year(_t(spark, sf, "orders"), "o_orderdate", 1995).select("o_orderkey")
+
+
+@query("SELECT hour(ts)::INTEGER AS hour, ts < TIMESTAMP '2024-01-15' AS training, count(*) AS n FROM events WHERE hour(ts) IN (0, 6, 12, 18) GROUP BY ALL")
+def hours_and_date_cut(spark, sf):
+    parts = pf.before_and_from(pf.at_hours(_t(spark, sf, "events"), "ts", [0, 6, 12, 18]), "ts", "2024-01-15")
+    one = lambda df, t: df.groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n")).select("hour", F.lit(t).alias("training"), "n")
+    return one(parts[0], True).unionAll(one(parts[1], False))
+
+
+@query("SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey WHERE n.n_regionkey <= 2")
+def up_to_level(spark, sf):
+    nodes = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("first_level"), "n_name")
+    rows = pf.up_to_level(_t(spark, sf, "supplier"), nodes, "s_nationkey", 2)
+    return pf.by_level_map(rows, nodes, "s_nationkey").select("s_suppkey", "n_name")
+
+
+@query("WITH r AS (SELECT l_suppkey, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY 1) SELECT l_suppkey, CASE WHEN r2 >= 0.9 THEN 'well' ELSE 'badly' END AS list FROM r WHERE r2 >= 0.9 OR r2 < 0.8")
+def explained_and_not(spark, sf):
+    r = _t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.regr_r2("l_extendedprice", "l_quantity").alias("r2"))
+    return pf.explained_and_not(r, "r2", 0.9, 0.8).select("l_suppkey", "list")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) WHERE l_linenumber = m")
+def last_lead(spark, sf):
+    return pf.select_leads(_t(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", "last").select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT event_id, date_trunc('month', ts)::DATE AS month, (date_trunc('month', ts) + INTERVAL 1 MONTH)::DATE AS next, ts + to_hours((event_id % 100)::BIGINT) AS valid, round(sin((dayofyear(ts) - 1) * 2 * pi() / 365.25), 6) AS season, round(cos(hour(ts) * 2 * pi() / 24), 6) AS clock, 'PC_' || (event_id % 20) AS name FROM events""")
+def calendar_functions(spark, sf):
+    e, ts = _t(spark, sf, "events"), F.col("ts")
+    first, following = month_bounds(ts)
+    season, _, _, clock = season_angles(ts)
+    return e.select("event_id", first.alias("month"), following.alias("next"), valid_time(ts, F.col("event_id") % 100).cast("timestamp_ntz").alias("valid"), F.round(season, 6).alias("season"), F.round(clock, 6).alias("clock"), component_name(F.col("event_id") % 20).alias("name"))
+
+
+@query(f"WITH {_PAIRMEAN} SELECT ((b - a + 4) % 4)::INTEGER AS shift, round(avg(sim), 6) AS mean FROM m GROUP BY 1")
+def diurnal_lag_curve(spark, sf):
+    return _r(si.diurnal_lag_curve(_slots(spark, sf)), "mean")
+
+
+def _streamed(spark, sf, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the events gives out by its end, all windows closed by a last row far ahead."""
+    schema = _t(spark, sf, "events").schema
+    name = f"stream_{uuid.uuid4().hex}"
+    stream = make(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp")))
+    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1 HAVING count(*) <> 334")
+def stream_daily_counts(spark, sf):
+    return _streamed(spark, sf, lambda s: st.daily_counts(s, "ts", expected=334)).select(F.to_date("day").alias("day"), "n")
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS new FROM events), s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf):
+    return _streamed(spark, sf, lambda s: st.sessions(s, "ts", "user_id", "6 hours")).select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")

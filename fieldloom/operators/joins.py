@@ -88,7 +88,7 @@ def match_by_place(a: DataFrame, b: DataFrame, digits: int = 8, strict: bool = F
     if strict:
         on = [F.round(F.col(c), digits).alias("_" + c) for c in "xyz"]
         there = b.groupBy(*on).agg(F.count("*").alias("_n"))
-        wrong = a.select(*on).join(there, ["_x", "_y", "_z"], "left").agg(F.count_if("_n IS NULL").alias("none"), F.count_if("_n > 1").alias("many")).first()
+        wrong = a.select(*on).join(there, ["_x", "_y", "_z"], "left").agg(F.count_if(F.col("_n").isNull()).alias("none"), F.count_if(F.col("_n") > 1).alias("many")).first()
         if wrong.none or wrong.many:
             raise ValueError(f"{wrong.none} places without a match, {wrong.many} with several")
     key = lambda df: df.select("*", *[F.round(F.col(c), digits).alias("_" + c) for c in "xyz"])

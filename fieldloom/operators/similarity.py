@@ -68,6 +68,11 @@ def diurnal_scores(pairs: DataFrame, slots: int = 4) -> DataFrame:
     return pairs.agg(same.alias("same"), opposite.alias("opposite"), (same - opposite).alias("contrast"))
 
 
+def diurnal_lag_curve(pairs: DataFrame, slots: int = 4) -> DataFrame:
+    """From slot pairs: the mean similarity at each shift of slots round the day."""
+    return pairs.groupBy(F.pmod(F.col("b") - F.col("a"), F.lit(slots)).cast("int").alias("shift")).agg(F.avg("sim").alias("mean"))
+
+
 def periodicity(steps: DataFrame, value: str, period: float) -> DataFrame:
     """Share of the power, mean left out, at the frequency nearest to one per period; by one DFT line and Parseval."""
     n = steps.count()

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.linear import gram
+from ..operators.linear import grouped_gram, unfold
 
 
-def daily_counts(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
-    """Rows per day, given out once a day can get no more."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "n")
+def daily_counts(stream: DataFrame, ts: str, late: str = "1 day", expected: int | None = None) -> DataFrame:
+    """Rows per day, given out once a day can get no more; with ``expected``, of days with another number only."""
+    days = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "n")
+    return days if expected is None else days.filter(F.col("n") != expected)
 
 
 def three_step_windows(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
@@ -30,21 +32,43 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str, late: str = "1 hour
 class RunningGram:
     """For ``foreachBatch``: adds each batch's sums, so components can be had at any time.
 
-    A batch that comes again after a restart is added once, by its number.
+    A batch's sums are written to ``<path>/number=<batch>`` before they count, so
+    a batch that comes again replaces itself, and a new process that is given the
+    path starts from all that were written. Without a path the sums are this
+    object's alone and end with it.
     """
 
-    def __init__(self, vector: str):
-        self.vector, self.n, self.total, self.outer, self.last = vector, 0, None, None, -1
+    def __init__(self, vector: str, spark: SparkSession | None = None, path: str | None = None):
+        self.vector, self.path, self.parts = vector, path, {}
+        if path is not None:
+            try:
+                rows = spark.read.parquet(path).collect()
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                rows = []
+            self.parts = {r.number: unfold(r.data) for r in rows}
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if number <= self.last:
-            return
-        n, total, outer = gram(batch, self.vector)
-        if n:
-            self.n += n
-            self.total = total if self.total is None else self.total + total
-            self.outer = outer if self.outer is None else self.outer + outer
-        self.last = number
+        sums = grouped_gram(batch, [], self.vector)
+        if self.path is not None:
+            sums.write.mode("overwrite").parquet(f"{self.path}/number={number}")
+            sums = batch.sparkSession.read.schema("data binary").parquet(f"{self.path}/number={number}")
+        got = sums.collect()
+        if got:
+            self.parts[number] = unfold(got[0].data)
+
+    @property
+    def n(self) -> int:
+        return sum(p[0] for p in self.parts.values())
+
+    @property
+    def total(self) -> np.ndarray:
+        return sum(p[1] for p in self.parts.values())
+
+    @property
+    def outer(self) -> np.ndarray:
+        return sum(p[2] for p in self.parts.values())
 
     def variances(self) -> np.ndarray:
         mean = self.total / self.n

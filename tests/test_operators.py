@@ -210,3 +210,89 @@ def test_empty_inputs(spark):
     assert la.gram(df, "x")[0] == 0 and ag.step_stats(df, ["k"], "v").count() == 0
     assert pf.complete_steps(df, "t", "x").count() == 0 and me.pr_curve(df, "v", "k").count() == 0
     assert jn.with_neighbours(df, "t", "6 HOURS").count() == 0 and ag.histogram(df, "v", 5).count() == 0
+
+
+def test_grids_of_fits(spark, matrix):
+    """Every cell of the grid against predictions made row by row."""
+    train, test = matrix[:300], matrix[300:]
+    sums = [la.gram(spark.createDataFrame([(r.tolist(),) for r in m], "x array<double>"), "x") for m in (train, test)]
+    z = (train - train.mean(0)) / train.std(0)
+    zt = (test - train.mean(0)) / train.std(0)
+    for y, n, alpha, _, r2, rmse, corr in la.fit_grid(*sums, [0, 1, 2, 3], [4, 5], [2, 4], [0.5, 50.0]):
+        w = np.linalg.solve(z[:, :n].T @ z[:, :n] + alpha * np.eye(n), z[:, :n].T @ train[:, y])
+        f = zt[:, :n] @ w + train[:, y].mean()
+        e = test[:, y] - f
+        assert np.allclose([r2, rmse, corr], [1 - (e @ e) / ((test[:, y] - test[:, y].mean()) ** 2).sum(), np.sqrt((e @ e) / 100), np.corrcoef(f, test[:, y])[0, 1]])
+    best = la.best_alpha([(0, 1, 0.1, 1, 0.5), (0, 1, 1.0, 1, 0.5), (0, 1, 2.0, 1, 0.4)])
+    assert best == [(0, 1, 0.1, 1, 0.5)]
+    w, r2 = la.ols(*sums[0], [0, 1, 2, 3], 5)
+    assert np.allclose(w, np.linalg.lstsq(z[:, :4], train[:, 5] - train[:, 5].mean(), rcond=None)[0])
+    assert math.isclose(r2, 1 - ((train[:, 5] - train[:, 5].mean() - z[:, :4] @ w) ** 2).sum() / (300 * train[:, 5].var()))
+
+
+def test_gram_of_groups_and_jobs(spark, matrix):
+    rows = [(int(i) % 3 or None, f"k{i % 2}", r.tolist()) for i, r in enumerate(matrix)] + [(9, "few", [1.0] * 6), (9, "few", [2.0] * 6)]
+    df = spark.createDataFrame(rows, "g int, k string, x array<double>").repartition(16)
+    got = {(r.g, r.k): la.unfold(r.data) for r in la.grouped_gram(df, ["g", "k"], "x").collect()}
+    for g in (None, 1, 2):
+        for k in ("k0", "k1"):
+            own = matrix[[i for i in range(400) if (i % 3 or None) == g and f"k{i % 2}" == k]]
+            n, total, outer = got[g, k]
+            assert n == len(own) and np.allclose(total, own.sum(0)) and np.allclose(outer, own.T @ own)
+    assert got[9, "few"][0] == 2 and np.allclose(got[9, "few"][2], 5.0)
+    tracker = spark.sparkContext.statusTracker()
+    count = []
+    for parts in (2, 32):
+        spark.sparkContext.setJobGroup(f"gram{parts}", "")
+        la.gram(df.repartition(parts), "x")
+        count.append(len(tracker.getJobIdsForGroup(f"gram{parts}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(count) <= min(count) + 1
+
+
+def test_running_sums_in_pieces(spark):
+    rng = np.random.default_rng(4)
+    v = sorted({round(float(x), 6) for x in rng.exponential(size=500)})
+    df = spark.createDataFrame([(x, i % 7) for i, x in enumerate(v)], "v double, n int")
+    got = {r.v: (r.up, r.run_n) for r in wi.running_sums(df, "v", ["n"], descending=True).withColumn("up", F.lit(0)).collect()}
+    down = {r.v: r.run_n for r in wi.running_sums(df, "v", ["n"], before=True).collect()}
+    n = np.array([i % 7 for i in range(len(v))])
+    assert all(got[x][1] == n[i:].sum() and down[x] == n[:i].sum() for i, x in enumerate(v))
+
+
+def test_screen_ignores_incomplete_rows(spark):
+    nan = float("nan")
+    rows = [(float(i), 2.0 * i, float(i * i % 7)) for i in range(12)] + [(nan, 5.0, 1.0), (3.0, None, 1.0), (1e9, 1.0, nan), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    out = {r.feature: r for r in plans.screen(df, [], {"a": F.col("a")}, {"b": F.col("b"), "c": F.col("c"), "k": F.lit(2.0)}).collect()}
+    assert math.isclose(out["b"].r, 1.0) and out["b"].rank == 1 and out["k"].r is None and out["k"].rank == 3
+    assert plans.screen(df.limit(5), [], {"a": F.col("a")}, {"b": F.col("b")}).count() == 0
+    ranks = {r.f: r.rank for r in wi.ranked(spark.createDataFrame([("x", nan), ("y", 0.2), ("z", None)], "f string, s double"), [], "s", "f").collect()}
+    assert ranks == {"y": 1, "x": 2, "z": 3}
+    assert math.isclose(df.select(fn.pearson(F.col("a"), F.col("b"))).first()[0], np.corrcoef([*range(12), 1e9], [*range(0, 24, 2), 1.0])[0, 1])
+    assert math.isclose(me.residual_metrics(df.filter("a < 100 OR a IS NULL"), "a", "b").first().rmse, math.sqrt(np.mean([i * i for i in range(12)])))
+
+
+def test_strict_matches_and_windows(spark):
+    a = spark.createDataFrame([(1, 0.1, 0.2, 0.3), (2, 0.4, 0.5, 0.6)], "n int, x double, y double, z double")
+    b = a.select(F.col("n").alias("m"), "x", "y", "z")
+    assert jn.match_by_place(a, b, strict=True).count() == 2
+    for wrong in (b.limit(1), b.unionAll(b)):
+        with pytest.raises(ValueError):
+            jn.match_by_place(a, wrong, strict=True)
+    with pytest.raises(ValueError):
+        jn.join_all(a, b.filter("m = 1").withColumnRenamed("m", "n").select("n"), ["n"])
+    t = spark.sql("SELECT explode(sequence(timestamp'2021-01-01', timestamp'2021-01-03', interval 6 hours)) AS t")
+    jn.require_window(t.filter("t = timestamp'2021-01-01 06:00:00'"), t, "t", 1, 7)
+    with pytest.raises(ValueError):
+        jn.require_window(t, t, "t", 1, 7)
+    with pytest.raises(ValueError):
+        ag.day_climatology(t.select(fn.day_of_year_365(F.col("t")).alias("d"), F.lit(1.0).alias("v")), "d", "v")
+    with pytest.raises(ValueError):
+        pf.select_leads(t, [], "t", "middle")
+    one = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "i int, x array<double>")
+    assert sorted(pf.scramble(one, "x").first().x) == [1.0, 2.0, 3.0] and pf.scramble(one, "x").first() == pf.scramble(one.repartition(3), "x").first()
+    assert abs(plans.longest_edge(3) - 0.1651) < 5e-3
+    assert np.allclose(fn.log_grid(-1, 1, 3), [0.1, 1.0, 10.0])
+    m = spark.createDataFrame([("mask_20210304_06.nc",), ("m20210304.nc",), ("2021-03-04T18.nc",), ("none",)], "n string")
+    assert [str(r[0]) for r in m.select(fn.mask_time_in_name(F.col("n"))).collect()] == ["2021-03-04 06:00:00", "2021-03-04 00:00:00", "2021-03-04 18:00:00", "None"]

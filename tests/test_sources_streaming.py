@@ -49,3 +49,67 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     starts = {str(r.start) for r in spark.table("three").collect()}
     assert "2021-01-01 06:00:00" in starts and "2020-12-31 18:00:00" not in starts
+
+
+def test_fields_forecasts_and_probes(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/t2m.npy").write_bytes(_npy(np.arange(6, dtype=np.float32).reshape(2, 3)))
+    (tmp_path / "f/lsm.npy").write_bytes(_npy(np.ones(3, np.float32)))
+    (tmp_path / "times.txt").write_text("2021-01-01 00:00:00\n2021-01-01T06\n")
+    times = so.read_timestamps(spark, str(tmp_path / "times.txt"), 2)
+    assert [str(r.ts) for r in times.orderBy("i").collect()] == ["2021-01-01 00:00:00", "2021-01-01 06:00:00"]
+    with pytest.raises(ValueError):
+        so.read_timestamps(spark, str(tmp_path / "times.txt"), 3)
+    got = {(r.feature, str(r.ts), r.node): r.value for r in so.read_mesh_fields(spark, str(tmp_path / "f"), times).collect()}
+    assert len(got) == 9 and got["t2m", "2021-01-01 06:00:00", 2] == 5.0 and got["lsm", "None", 0] == 1.0
+    assert so.read_mesh_fields(spark, str(tmp_path / "f"), times, ["lsm"]).count() == 3
+    with pytest.raises(ValueError):
+        so.read_mesh_fields(spark, str(tmp_path / "f"), times, ["absent"])
+    (tmp_path / "p/2021-03-04T06").mkdir(parents=True)
+    for n in ("gamma_0.5.nc", "gamma_-1.nc", "other.nc"):
+        (tmp_path / "p/2021-03-04T06" / n).write_bytes(b"x")
+    found = so.discover_forecasts(spark, str(tmp_path / "p")).collect()
+    assert [(r.gamma, str(r.center_time)) for r in found] == [(-1.0, "2021-03-04 06:00:00"), (0.5, "2021-03-04 06:00:00")]
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for force in (False, False, True):
+        assert so.cached_documents(spark, str(tmp_path / "cache"), "id long", make, force).count() == 3
+    assert len(made) == 2
+    probe = so.Probe(np.array([1.0]), np.array([2.0]), np.array([3.0]), 4.0)
+    so.save_probe(spark, probe, str(tmp_path / "probe"))
+    back = so.load_probe(spark, str(tmp_path / "probe"))
+    assert (back.mean, back.std, back.coef, back.intercept) == (probe.mean, probe.std, probe.coef, 4.0)
+    so.write_manifest(spark.range(2), spark.range(1), str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m/valid")).count() == 2
+    so.bundle([str(tmp_path / "times.txt")], str(tmp_path / "out.tar.gz"))
+    import tarfile
+
+    assert tarfile.open(tmp_path / "out.tar.gz").getnames() == ["times.txt"]
+    (tmp_path / "act").mkdir()
+    (tmp_path / "act/empty_t2021-01-03T00.npy").write_bytes(b"")
+    assert so.read_activations(spark, str(tmp_path / "act")).count() == 0
+
+
+def test_running_gram_survives_a_restart(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "i int, x array<double>")
+    path = str(tmp_path / "sums")
+    one = st.RunningGram("x", spark, path)
+    one(df, 0)
+    one(df, 0)
+    two = st.RunningGram("x", spark, path)
+    assert one.n == two.n == 10
+    two(df.limit(4), 1)
+    again = st.RunningGram("x", spark, path)
+    assert again.n == 14 and np.allclose(again.total, [45 + 6, 14]) and len(again.variances()) == 2
+
+
+def test_days_and_sessions(spark, tmp_path):
+    t = spark.sql("SELECT explode(sequence(timestamp'2021-01-01', timestamp'2021-01-04', interval 6 hours)) AS ts, 'a' AS k").filter("ts <> timestamp'2021-01-02 06:00:00'")
+    t.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    for name, df in (("days", st.daily_counts(stream, "ts", expected=4)), ("own", st.sessions(stream, "ts", "k", "7 hours"))):
+        df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
+    assert {str(r.day): r.n for r in spark.table("days").collect()} == {"2021-01-02 00:00:00": 3, "2021-01-04 00:00:00": 1}
+    assert sorted(r.n for r in spark.table("own").collect()) == [5, 7]
