@@ -1,6 +1,7 @@
 """From raw documents to packed windows: five stages, each over all that the one before kept.
 
-Every stage's result is written as Parquet in the shared folder and read again.
+Every stage's result is written as Parquet in the shared folder and read again;
+what the stage before wrote is deleted then.
 """
 
 from __future__ import annotations
@@ -44,15 +45,19 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_jaccard", near_duplicates), ("mixing", mixing), ("best_fit_packing", packing)]
 
-#: Language identification and bin completion can't be said in SQL; the tests hold each stage against brute force.
+#: Language identification and bin completion can't be said in SQL; tests/llm/test_brute_force.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}_{name}")
         docs = spark.read.parquet(path)
+        if last is not None:
+            old = spark._jvm.org.apache.hadoop.fs.Path(last)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        last = path
     return docs
