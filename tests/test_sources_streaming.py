@@ -113,3 +113,77 @@ def test_days_and_sessions(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
     assert {str(r.day): r.n for r in spark.table("days").collect()} == {"2021-01-02 00:00:00": 3, "2021-01-04 00:00:00": 1}
     assert sorted(r.n for r in spark.table("own").collect()) == [5, 7]
+
+
+def test_zarr_chunks(spark, tmp_path):
+    import json
+    import zlib
+
+    root = tmp_path / "store"
+    x = np.arange(5 * 7, dtype="<f4").reshape(5, 7)
+    x[1, 2] = -9
+
+    def put(name, array, chunks, dims, compressor, attrs=None):
+        d = root / name
+        d.mkdir(parents=True)
+        (d / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": array.shape, "chunks": chunks, "dtype": array.dtype.str, "compressor": compressor, "fill_value": None, "order": "C", "filters": None}))
+        (d / ".zattrs").write_text(json.dumps({"_ARRAY_DIMENSIONS": dims, **(attrs or {})}))
+        for at in np.ndindex(*[-(-n // c) for n, c in zip(array.shape, chunks)]):
+            part = np.zeros(chunks, array.dtype)
+            own = array[tuple(slice(k * c, k * c + c) for k, c in zip(at, chunks))]
+            part[tuple(slice(0, n) for n in own.shape)] = own
+            raw = part.tobytes()
+            raw = zlib.compress(raw) if compressor and compressor["id"] == "zlib" else raw if compressor is None else __import__("pyarrow").compress(raw, codec="zstd", asbytes=True)
+            (d / ".".join(map(str, at))).write_bytes(raw)
+
+    put("t", x, [2, 3], ["latitude", "longitude"], {"id": "zlib"}, {"missing_value": -9, "scale_factor": 2.0, "add_offset": 1.0})
+    put("u", x, [5, 7], ["latitude", "step"], {"id": "zstd"})
+    put("latitude", np.linspace(90, -90, 5), [2], ["latitude"], None)
+    put("longitude", np.arange(7) * 10.0, [7], ["longitude"], {"id": "zlib"})
+    from fieldloom.sources import grids
+
+    got = {(r.lat, r.lon): r.value for r in grids.read_zarr(spark, str(root), "t").collect()}
+    assert len(got) == 35 and got[45.0, 20.0] is None and got[-90.0, 60.0] == 34 * 2 + 1.0 and got[90.0, 10.0] == 3.0
+    u = {(r.lat, r.step): r.value for r in grids.read_zarr(spark, str(root), "u").collect()}
+    assert len(u) == 35 and u[0.0, 3.0] == 17.0
+
+
+def test_classic_netcdf(spark, tmp_path):
+    import struct
+
+    import pytest
+
+    from fieldloom.sources import grids
+
+    def name(s):
+        return struct.pack(">i", len(s)) + s.encode().ljust(-(-len(s) // 4) * 4, b"\0")
+
+    def build(time):
+        """CDF-1 with a record dimension ``time``, and ``latitude``; two record variables, one of shorts with scale and fill."""
+        lat, t = np.array([10.0, 20.0, 30.0], ">f8"), (np.arange(time) * 6).astype(">i4")
+        mask = (np.arange(time * 3).reshape(time, 3) % 4).astype(">i2")
+        attr = struct.pack(">ii", 12, 2) + name("scale_factor") + struct.pack(">iid", 6, 1, 0.5) + name("_FillValue") + struct.pack(">iih", 3, 1, 3) + b"\0\0"
+        none = struct.pack(">ii", 0, 0)
+
+        def head(begin):
+            v = name("latitude") + struct.pack(">ii", 1, 1) + none + struct.pack(">iii", 6, 24, begin[0])
+            v += name("time") + struct.pack(">ii", 1, 0) + none + struct.pack(">iii", 4, 4, begin[1])
+            v += name("label") + struct.pack(">iii", 2, 0, 1) + attr + struct.pack(">iii", 3, 8, begin[2])
+            return b"CDF\1" + struct.pack(">i", time) + struct.pack(">ii", 10, 2) + name("time") + struct.pack(">i", 0) + name("latitude") + struct.pack(">i", 3) + none + struct.pack(">ii", 11, 3) + v
+
+        n = len(head([0, 0, 0]))
+        out = head([n, n + 24, n + 28]) + lat.tobytes()
+        for k in range(time):
+            out += t[k : k + 1].tobytes() + mask[k].tobytes() + b"\0\0"
+        return out, mask
+
+    data, mask = build(2)
+    (tmp_path / "2021-01-01.nc").write_bytes(data)
+    (tmp_path / "hdf.nc").write_bytes(b"\x89HDF")
+    (tmp_path / "empty.nc").write_bytes(b"")
+    got = {(r.time, r.lat): (r.value, r.annotator) for r in grids.read_netcdf(spark, str(tmp_path), "label", ["time", "lat", "annotator"]).collect()}
+    assert sorted(got) == [(a, b) for a in (0.0, 6.0) for b in (10.0, 20.0, 30.0)]
+    assert got[0.0, 10.0] == (0.0, None) and got[6.0, 10.0] == (None, None) and got[6.0, 30.0] == (0.5 * mask[1, 2], None)
+    assert grids.read_netcdf(spark, str(tmp_path), "absent", ["time"]).count() == 0
+    with pytest.raises(Exception):
+        grids.read_netcdf(spark, str(tmp_path), "label", ["time"], skip_bad=False).count()
