@@ -5,7 +5,6 @@ Every query runs over whole tables. Doubles are rounded to 6 places on both side
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -701,12 +700,9 @@ def diurnal_lag_curve(spark, sf):
 
 
 def _streamed(spark, sf, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream over the events gives out by its end, all windows closed by a last row far ahead."""
+    """What a stream over the events has by its end."""
     schema = _t(spark, sf, "events").schema
-    name = f"stream_{uuid.uuid4().hex}"
-    stream = make(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp")))
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return st.run_through(make(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))))
 
 
 @query("SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1 HAVING count(*) <> 334")

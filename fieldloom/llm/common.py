@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint_dir
+
 #: A side of a join is broadcast only when it has been counted and has no more rows than this.
 BROADCAST_ROWS = 500_000
 
@@ -16,19 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own; where none is set, a temporary one of a local session, and an error on a cluster."""
-    sc = spark.sparkContext
-    have = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if have is None:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        have = tempfile.mkdtemp(prefix="fieldloom-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(have)
-    return have
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the shared checkpoint folder and forget its lineage."""
     checkpoint_dir(df.sparkSession)

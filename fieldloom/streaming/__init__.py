@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.linear import grouped_gram, unfold
+from ..shared import checkpoint_dir
 
 
 def daily_counts(stream: DataFrame, ts: str, late: str = "1 day", expected: int | None = None) -> DataFrame:
@@ -78,3 +80,18 @@ class RunningGram:
 def each_new(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
     """Run ``work`` over what is there and not yet done, then stop."""
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_through(stream: DataFrame) -> DataFrame:
+    """All that an aggregating stream has by the end of what is there now, open windows too.
+
+    The executors write it, and the state, below the shared checkpoint folder;
+    no row passes through the driver. The state is deleted at the end.
+    """
+    spark = stream.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    state.getFileSystem(spark._jsc.hadoopConfiguration()).delete(state, True)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -115,6 +115,17 @@ def test_days_and_sessions(spark, tmp_path):
     assert sorted(r.n for r in spark.table("own").collect()) == [5, 7]
 
 
+def test_results_of_streams_stay_off_the_driver(spark, tmp_path):
+    from fieldloom import catalog
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_sessions", "stream_daily_counts"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        files = got.inputFiles()
+        assert files and not any("/state/" in f for f in files)  # a memory sink has its rows on the driver, and no files
+        assert sorted(got.collect()) == sorted(catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+
+
 def test_zarr_chunks(spark, tmp_path):
     import json
     import zlib
