@@ -11,18 +11,28 @@ from ..functions import chord, micros
 def asof_nearest(left: DataFrame, right: DataFrame, ts: str, other: str, tolerance_s: int, left_id: str, by: list[str] | None = None) -> DataFrame:
     """Left rows with the nearest ``other`` time within the tolerance (inclusive), the earliest on a tie; unmatched ones go.
 
-    Both sides fall into buckets as wide as the tolerance; a left row looks into
-    three of them, so the join is an equi-join at any size.
+    Both sides fall into buckets as wide as the tolerance. Within a bucket the
+    last time before a row and the first after it come by windows over the
+    union, one from each end; of the buckets beside it only the nearest time is
+    needed. So no pairs are made, however many times are within the tolerance.
+    ``left_id`` names a row for its readers; every left row gets its own answer.
     """
     width = max(1, tolerance_s) * 1_000_000
-    bucket = lambda c: F.floor(micros(c) / width)
-    by = by or []
-    looks = left.withColumn("_b", F.explode(F.array(*[bucket(F.col(ts)) + d for d in (-1, 0, 1)])))
-    times = right.select(*by, F.col(other)).distinct().withColumn("_b", bucket(F.col(other)))
-    gap = F.abs(micros(F.col(ts)) - micros(F.col(other)))
-    pairs = looks.join(times, [*by, "_b"]).filter(gap <= tolerance_s * 1_000_000)
-    best = pairs.groupBy(left_id).agg(F.min(F.struct(gap.alias("gap"), F.col(other).alias(other))).alias("_m"))
-    return left.join(best, left_id).select(left["*"], F.col("_m")[other].alias(other), (F.col("_m.gap") / 1e6).alias("gap_s"))
+    keys = [f"_k{i}" for i in range(len(by or []))]
+    there = lambda df: df.filter(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, "_t"))).withColumn("_b", F.floor(F.col("_t") / width))
+    key = [F.col(c).alias(k) for c, k in zip(by or [], keys)]
+    rows = there(left.select(F.struct("*").alias("_row"), *key, micros(F.col(ts)).alias("_t")))
+    times = there(right.select(*key, F.col(other).alias("_r"), micros(F.col(other)).alias("_t")))
+    ends = times.groupBy(*keys, "_b").agg(F.min_by("_r", "_t").alias("_lo"), F.max_by("_r", "_t").alias("_hi"))
+    beside = lambda end, d: ends.select(*keys, (F.col("_b") + d).alias("_b"), F.col(end).alias("_r"), micros(F.col(end)).alias("_t"))
+    both = rows.withColumn("_r", F.lit(None).cast(right.schema[other].dataType))
+    for df in (times, beside("_lo", -1), beside("_hi", 1)):
+        both = both.unionByName(df, allowMissingColumns=True)
+    up_to = lambda order: F.last("_r", True).over(Window.partitionBy(*keys, "_b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.select("_row", "_t", up_to(F.asc("_t")).alias("_before"), up_to(F.desc("_t")).alias("_after")).filter("_row IS NOT NULL")
+    near = F.least(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_t") - micros(F.col(c))).alias("gap"), F.col(c).alias("time"))) for c in ("_before", "_after")])
+    found = found.select("_row", near.alias("_m")).filter(F.col("_m.gap") <= tolerance_s * 1_000_000)
+    return found.select("_row.*", F.col("_m.time").alias(other), (F.col("_m.gap") / 1e6).alias("gap_s"))
 
 
 def asof_nearest_unbounded(left: DataFrame, right: DataFrame, ts: str, other: str) -> DataFrame:

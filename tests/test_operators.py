@@ -24,6 +24,44 @@ def test_asof_tie_and_tolerance(spark):
     assert free == {1: "2021-01-01 00:00:00", 2: "2021-01-02 00:00:00", 3: "2021-01-03 03:00:02"}
 
 
+def _most_rows(df) -> int:
+    """The largest number of rows that a step of the plan gave out when ``df`` was collected."""
+
+    def walk(plan):
+        while (name := plan.nodeName()).startswith("AdaptiveSparkPlan") or name.endswith("QueryStage"):
+            plan = plan.executedPlan() if name.startswith("AdaptiveSparkPlan") else plan.plan()
+        n = plan.metrics().get("numOutputRows")
+        return max([n.get().value() if n.isDefined() else 0, *[walk(plan.children().apply(i)) for i in range(plan.children().size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_asof_makes_no_pairs(spark):
+    """2,000 rows that all have 2,000 times within the tolerance."""
+    at = lambda name, shift: spark.range(2000).select("id", F.timestamp_micros(1_600_000_000_000_000 + F.col("id") * 100_003 + shift).alias(name))
+    got = jn.asof_nearest(at("t", 40_000), at("r", 0).drop("id"), "t", "r", 3600, "id")
+    rows = got.collect()
+    assert len(rows) == 2000 and {r.gap_s for r in rows} == {0.04} and got.columns == ["id", "t", "r", "gap_s"]
+    assert 2000 <= _most_rows(got) < 3 * 4000
+
+
+def test_asof_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [(i, None if k == 3 else int(k), None if t % 41 == 0 else int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 4, n), rng.integers(-400, 400, n)))]
+    left, right = draw(300), draw(60)
+    frame = lambda rows, t: spark.createDataFrame(rows, "id int, k int, s long").select("id", "k", F.timestamp_micros(F.col("s") * 1_000_000).alias(t), F.lit("x").alias("_t" if t == "t" else "more"))
+    for by in (["k"], None):
+        for tolerance in (0, 1, 7, 5000):
+            want = {}
+            for i, k, t in left:
+                near = [(abs(t - s), s) for _, j, s in right if t is not None and s is not None and abs(t - s) <= tolerance and (by is None or k is not None and j == k)]
+                if near:
+                    want[i] = min(near)
+            got = jn.asof_nearest(frame(left, "t"), frame(right, "r"), "t", "r", tolerance, "id", by)
+            assert got.columns == ["id", "k", "t", "_t", "r", "gap_s"]
+            assert {r.id: (r.gap_s, r.s) for r in got.withColumn("s", F.unix_seconds("r")).collect()} == want
+
+
 def test_bins_poles_and_wrap(spark):
     df = spark.createDataFrame([(90.0, 0.0), (-90.0, 359.9), (0.0, -10.0), (91.0, 0.0), (None, 1.0)], "lat double, lon double")
     got = [r[0] for r in df.select(jn.bin_cell(F.col("lat"), F.col("lon"))).collect()]
